@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm import exact, mixing, packing, pii, simhash, tokenbin
+from rillstone.llm import exact, mixing, packing, pii, quality, rules, simhash, tokenbin
 from rillstone.llm.store import table
 
 
@@ -20,11 +20,25 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    told = quality.scored(docs, model)
+    return told.select(
+        "doc_id", (~quality.learnable()).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted")
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("llr", 6).alias("llr"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_tokens(spark, tokenbin.write_tokens(table(spark, sf_dir, "documents")))
 
@@ -45,7 +59,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_quality": op2_quality,
     "op4_simhash": op4_simhash,
+    "op5_quality_rules": op5_quality_rules,
     "op6_token_files": op6_token_files,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
