@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm import exact, mixing, packing, pii, quality, rules, simhash, tokenbin
+from rillstone.llm import chat, exact, mixing, packing, pii, quality, rules, simhash, tokenbin
 from rillstone.llm.store import table
 
 
@@ -29,6 +29,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = [(-7, k, role, r"\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant"))]
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(planted, "conv_id long, turn long, role string, text string"))
+    return chat.read_back(chat.format_turns(turns))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -60,6 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
+    "op3_chat": op3_chat,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_files": op6_token_files,
@@ -109,3 +117,20 @@ select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
        sha256(coalesce(text, '')) as text_sha256
 from documents window g as (partition by coalesce(text, ''))
 """
+
+ORACLE["op3_chat"] = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all
+  select -7, k, role, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(k, role)
+), e as (
+  select *, 20 + length(regexp_replace(role, '(\\|<turn>|</role>|</turn>)', '\\\1', 'g')) + length(regexp_replace(text, '(\\|<turn>|</role>|</turn>)', '\\\1', 'g')) as chars
+  from c
+)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(chars)::bigint as formatted_chars
+from e group by conv_id
+"""
