@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm import chat, exact, mixing, packing, pii, quality, rules, simhash, tokenbin
+from rillstone.llm import chat, exact, html, mixing, packing, pii, quality, rules, simhash, tokenbin
 from rillstone.llm.store import table
 
 
@@ -60,6 +60,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_html": op9_html,
     "op10_packing": op10_packing,
 }
 
