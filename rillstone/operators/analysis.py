@@ -30,26 +30,38 @@ def lag_regression(pairs: DataFrame) -> DataFrame:
 
 
 def fit_linear(df: DataFrame, predictors: Sequence[str], target: str):
-    """An ordinary least squares model of target on all predictors; rows with a null are left out."""
+    """An ordinary least squares model of target on all predictors; rows with a null are left out. None if no more rows are
+    left than there are coefficients."""
     rows = df.select(*predictors, F.col(target).alias("label")).dropna()
+    if rows.limit(len(predictors) + 2).count() < len(predictors) + 2:
+        return None
     data = VectorAssembler(inputCols=list(predictors), outputCol="features").transform(rows)
     return LinearRegression(solver="normal", regParam=0.0).fit(data)
 
 
 def lag_model(df: DataFrame, predictors: Sequence[str], target: str) -> DataFrame:
-    """A row per term: its coefficient, beside r2 and the number of rows."""
+    """A row per term: its coefficient, beside r2 and the number of rows; no row if there are too few to fit."""
+    schema = "term string, coefficient double, r2 double, n long"
     m = fit_linear(df, predictors, target)
+    if m is None:
+        return df.sparkSession.createDataFrame([], schema)
     terms = [("intercept", float(m.intercept)), *zip(predictors, map(float, m.coefficients), strict=True)]
     rows = [(name, value, float(m.summary.r2), int(m.summary.numInstances)) for name, value in terms]
-    return df.sparkSession.createDataFrame(rows, "term string, coefficient double, r2 double, n long")
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def causality(df: DataFrame, own: Sequence[str], other: Sequence[str], target: str) -> DataFrame:
-    """Do the other series' lags improve the prediction from the own lags? F of the nested regressions, with its degrees of freedom."""
+    """Do the other series' lags improve the prediction from the own lags? F of the nested regressions, with its degrees of
+    freedom; f and the sums are null if there are too few rows for the full model."""
+    schema = "f double, df1 int, df2 int, ssr_own double, ssr_full double, n long"
     rows = df.select(target, *own, *other).dropna()
     small, full = fit_linear(rows, own, target), fit_linear(rows, [*own, *other], target)
-    n, q = int(full.summary.numInstances), len(other)
+    q = len(other)
+    if full is None:
+        n = rows.count()
+        return df.sparkSession.createDataFrame([(None, q, n - len(own) - q - 1, None, None, n)], schema)
+    n = int(full.summary.numInstances)
     rest = n - len(own) - q - 1
     ssr = [float(m.summary.meanSquaredError) * n for m in (small, full)]
-    f = (ssr[0] - ssr[1]) / q / (ssr[1] / rest) if rest > 0 and ssr[1] > 0 else None
-    return df.sparkSession.createDataFrame([(f, q, rest, ssr[0], ssr[1], n)], "f double, df1 int, df2 int, ssr_own double, ssr_full double, n long")
+    f = (ssr[0] - ssr[1]) / q / (ssr[1] / rest) if ssr[1] > 0 else None
+    return df.sparkSession.createDataFrame([(f, q, rest, ssr[0], ssr[1], n)], schema)

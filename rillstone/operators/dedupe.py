@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key: the first in the order, then by all other columns."""
     rest = [F.col(c).desc_nulls_last() for c in df.columns if c not in keys]
+    if not order and not rest:
+        return df.distinct()
     w = Window.partitionBy(*keys).orderBy(*order, *rest)
     return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 

@@ -683,7 +683,7 @@ def roundtrip_json(spark, d):
 @query(f"select event_id, station, null::varchar as absent, value from {E}")
 def roundtrip_json_schema(spark, d):
     path = _write_arrays(landed(spark, d), new_path(spark, "json"))
-    return readers.json_array(spark, path, schemas._struct("event_id long, station long, absent string, value double"))
+    return readers.json_array(spark, path, schemas.struct("event_id long, station long, absent string, value double"))
 
 
 @query(f"select sensor, count(*) as n from {E} group by 1")
@@ -705,7 +705,7 @@ def _typed(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schemas.EVENT])
 
 
-_TEXT = schemas._struct("event_id string, station string, sensor string, ts string, value string")
+_TEXT = schemas.struct("event_id string, station string, sensor string, ts string, value string")
 
 
 @query(_SAME)
@@ -790,7 +790,7 @@ def roundtrip_stations(spark, d):
     code = F.when(k % 5 == 0, F.concat(F.lit("x"), "station")).when(k % 7 == 0, None).otherwise(F.col("station").cast("string"))
     spare = events(spark, d).select(code.alias("codigoestacao")).unionByName(events(spark, d).select(F.col("station").cast("string").alias("codigoestacao")))
     spare.write.json(path)
-    return readers.stations(readers.json_lines(spark, path, schemas._struct("codigoestacao string")))
+    return readers.stations(readers.json_lines(spark, path, schemas.struct("codigoestacao string")))
 
 
 # --- tables ----------------------------------------------------------------------------------------------------------

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType([T.StructField(n, T.DataType.fromDDL(t)) for n, t in (x.split(" ") for x in text.split(", "))])
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
 
 
-WEATHER = _struct(
+def struct(text: str) -> T.StructType:
+    """'name type, ...' as a schema, without a session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (x.split(" ") for x in text.split(", "))])
+
+
+WEATHER = struct(
     "icaoId string, obsTime long, reportTime string, temp double, dewp double, wdir double, wspd double, visib double, altim double, lat double, lon double, rawOb string"
 )
 #: Telemetry as it lands: every field is text.
@@ -22,6 +26,6 @@ TELEMETRY = T.StructType(
         )
     ]
 )
-SURFACE = _struct("station string, valid string, tmpf string, dwpf string, alti string, drct string, sknt string, vsby string, lat string, lon string, metar string")
-READING = _struct("station_id string, sensor string, source string, ts timestamp, value double, updated_at timestamp, is_outlier boolean")
-EVENT = _struct("event_id long, station long, sensor string, ts string, value double")
+SURFACE = struct("station string, valid string, tmpf string, dwpf string, alti string, drct string, sknt string, vsby string, lat string, lon string, metar string")
+READING = struct("station_id string, sensor string, source string, ts timestamp, value double, updated_at timestamp, is_outlier boolean")
+EVENT = struct("event_id long, station long, sensor string, ts string, value double")
