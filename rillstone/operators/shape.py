@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillstone import schemas
 from rillstone.functions import scalars as S
+from rillstone.operators import dedupe
 
 
 def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -105,3 +107,24 @@ def conform_surface(df: DataFrame) -> DataFrame:
         number("lon").alias("lon"),
         F.col("metar").alias("rawOb"),
     )
+
+
+def _telemetry(long: DataFrame, station: str, value: str, into: str) -> DataFrame:
+    """The 9 text columns of a telemetry record; measures that a source lacks are null, not zero."""
+    named = long.select(F.col(station).alias("codigoestacao"), F.col(value).cast("string").alias(into), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Data_Hora_Medicao"))
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+    return conform(with_constants(named, {f"{into}_Status": F.lit("0"), "Data_Atualizacao": stamp}), schemas.TELEMETRY)
+
+
+def level_records(wide: DataFrame, station: str = "EstacaoCodigo", date: str = "Data") -> DataFrame:
+    """Monthly level matrix (date dd/MM/yyyy, Cota01..31) -> telemetry records, in one plan."""
+    part = lambda i: S.part(F.col(date), "/", i)
+    return _telemetry(unpivot_days(wide, [station], "Cota", part(2), part(1), "level"), station, "level", "Cota_Adotada")
+
+
+def rain_records(wide: DataFrame, station: str = "EstacaoCodigo", date: str = "Data", consistency: str = "NivelConsistencia") -> DataFrame:
+    """Monthly rain matrix (Chuva01..31) -> telemetry records; of several versions of a month the most consistent one."""
+    part = lambda i: S.part(F.col(date), "/", i)
+    ranked = wide.withColumn(consistency, F.col(consistency).try_cast("double"))
+    one = dedupe.best(ranked, [station, date], consistency)
+    return _telemetry(unpivot_days(one, [station], "Chuva", part(2), part(1), "rain"), station, "rain", "Chuva_Adotada")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from rillstone import schemas
 from rillstone.functions import scalars as S
 from rillstone.operators import analysis, calendar, dedupe, profile, series, shape, star
+from rillstone.plans import chain
 from rillstone.shared import materialize, new_path, table
 from rillstone.sources import readers, sinks
 from rillstone.streaming import incremental
@@ -323,33 +324,25 @@ def _wide(spark, d, prefix: str, by: list[str]) -> DataFrame:
     wide = cells.groupBy(*by).pivot("dd", list(range(1, 32))).agg(F.first("v"))
     bad = F.when(F.substring("ym", 6, 2) == "02", F.lit("1.00"))
     wide = wide.select(*by, *[(F.coalesce(F.col(str(k)), bad) if k > 29 else F.col(str(k))).alias(f"{prefix}{k:02d}") for k in range(1, 32)])
-    return wide.withColumn(prefix + "01Status", F.lit("9"))
+    return wide.withColumn(prefix + "01Status", F.lit("9")).withColumn("Data", F.concat(F.lit("01/"), F.substring("ym", 6, 2), F.lit("/"), F.substring("ym", 1, 4)))
 
 
-@query("select station, strftime(make_timestamp(y, m, dd, 12, 0, 0), '%Y-%m-%d %H:%M:%S') as ts, round(sum(total), 2) as level from " + _PIVOT_DAYS + " group by 1, 2")
+@query("select station, strftime(make_timestamp(y, m, dd, 12, 0, 0), '%Y-%m-%d %H:%M:%S') as ts, round(sum(total), 2) as level, null::varchar as flow from " + _PIVOT_DAYS + " group by 1, 2")
 def unpivot_level(spark, d):
-    wide = _wide(spark, d, "Cota", ["station", "ym"]).withColumn("Data", F.concat(F.lit("01/"), F.substring("ym", 6, 2), F.lit("/"), F.substring("ym", 1, 4)))
-    long = shape.unpivot_days(wide, ["station"], "Cota", S.part(F.col("Data"), "/", 2), S.part(F.col("Data"), "/", 1), "level")
-    return long.select("station", stamp("ts").alias("ts"), F.round(F.col("level").try_cast("double"), 2).alias("level"))
+    got = shape.level_records(_wide(spark, d, "Cota", ["station", "ym"]), "station")
+    return got.select(F.col("codigoestacao").alias("station"), F.col("Data_Hora_Medicao").alias("ts"), F.round(F.col("Cota_Adotada").try_cast("double"), 2).alias("level"), F.col("Vazao_Adotada").alias("flow"))
 
 
 @query(
     "select station, strftime(make_timestamp(y, m, dd, 12, 0, 0), '%Y-%m-%d %H:%M:%S') as ts, total as rain from (select *, max(status) over (partition by station, y, m) as best from "
-    + _PIVOT_DAYS
+    + _PIVOT_DAYS.replace("o_orderstatus as status", "ascii(o_orderstatus) as status")
     + ") where status = best"
 )
 def unpivot_best(spark, d):
     wide = _wide(spark, d, "Chuva", ["station", "ym", "status"])
-    one = dedupe.best(wide, ["station", "ym"], "status")
-    comma = one.select(*[F.replace(F.col(c), F.lit("."), F.lit(",")).alias(c) if c.startswith("Chuva") else F.col(c) for c in one.columns])
-    long = shape.unpivot_days(comma, ["station"], "Chuva", F.substring("ym", 1, 4), F.substring("ym", 6, 2), "rain")
-    record = shape.conform(
-        shape.with_constants(
-            long.select(F.col("station").alias("codigoestacao"), F.col("rain").alias("Chuva_Adotada"), stamp("ts").alias("Data_Hora_Medicao")), {"Chuva_Adotada_Status": F.lit("0")}
-        ),
-        schemas.TELEMETRY,
-    )
-    return record.select(F.col("codigoestacao").alias("station"), F.col("Data_Hora_Medicao").alias("ts"), F.round(S.decimal_comma(F.col("Chuva_Adotada")), 2).alias("rain"))
+    comma = wide.select(*[F.replace(F.col(c), F.lit("."), F.lit(",")).alias(c) if c.startswith("Chuva") else F.col(c) for c in wide.columns])
+    got = shape.rain_records(comma.withColumn("status", F.ascii("status").cast("string")), "station", consistency="status")
+    return got.select(F.col("codigoestacao").alias("station"), F.col("Data_Hora_Medicao").alias("ts"), F.round(S.decimal_comma(F.col("Chuva_Adotada")), 2).alias("rain"))
 
 
 # --- dirty values ----------------------------------------------------------------------------------------------------
@@ -607,6 +600,22 @@ def fact_daily(spark, d):
     return told.select("station", "time_key", "nation", F.round("level_mean", 6).alias("level_mean"), F.round("level_max", 2).alias("level_max"), "n", F.round("flow", 2).alias("flow"), F.round("rain", 2).alias("rain"))
 
 
+@query(
+    f"""with d as (select station, sensor, ts::date as date, avg(value) as mean, sum(value) as total from {E} where value <= 300 group by 1, 2, 3),
+    p as (select station, date, max(mean) filter (where sensor = 'view') as level, max(mean) filter (where sensor = 'signup') as flow, max(total) filter (where sensor = 'purchase') as rain,
+      max(mean) filter (where sensor = 'click') as temp from d group by 1, 2)
+    select station, strftime(date, '%Y%m%d')::int as time_key, round(level * 0.01, 6) as level, round(flow, 6) as flow, round(rain, 6) as rain, round(temp, 6) as temp from p where level is not null"""
+)
+def medallion_chain(spark, d):
+    """The chain from landed text to the fact table, run twice: the second run changes nothing."""
+    prefix = _names("c") + "_"
+    for _ in range(2):
+        layers = chain.run(spark, landed(spark, d), prefix)
+    fact = spark.table(f"{layers['gold']}.fact_daily_level")
+    where = spark.table(f"{layers['gold']}.dim_location")
+    return fact.join(where, "location_key").select("station", "time_key", *[F.round(c, 6).alias(c) for c in ("level", "flow", "rain", "temp")])
+
+
 # --- lagged relations ------------------------------------------------------------------------------------------------
 
 _PAIR = f"(select station, date, max(mean) filter (where sensor = 'click') as temp, max(mean) filter (where sensor = 'view') as level from {_DAILY} group by 1, 2)"

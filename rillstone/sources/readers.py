@@ -18,6 +18,11 @@ def json_array(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def frozen_schema(spark: SparkSession, path: str, fmt: str = "json", **options) -> T.StructType:
+    """The schema inferred once from sample files, to be kept in code and used by all later reads."""
+    return spark.read.options(**options).format(fmt).load(path).schema
+
+
 def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A JSON object a line: splittable."""
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)

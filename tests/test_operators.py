@@ -143,3 +143,27 @@ def test_causality_finds_a_planted_lag(spark):
     assert corr[1] > 0.99 and abs(corr[0]) < 0.3
     m = {r.term: r.coefficient for r in analysis.lag_model(f, ["temp_lag1"], "level").collect()}
     assert abs(m["temp_lag1"] - 2) < 0.05
+
+
+def test_records_of_wide_matrices(spark):
+    levels = spark.createDataFrame([("1", "01/02/2023", "5", None)], "EstacaoCodigo string, Data string, Cota01 string, Cota02 string")
+    got = shape.level_records(levels)
+    assert got.columns == schemas.TELEMETRY.names
+    r = got.first()
+    assert (r.codigoestacao, r.Cota_Adotada, r.Cota_Adotada_Status, r.Chuva_Adotada, r.Data_Hora_Medicao) == ("1", "5", "0", None, "2023-02-01 12:00:00")
+    rain = spark.createDataFrame([("1", "1", "01/02/2023", "5,5"), ("1", "2", "01/02/2023", "7,5"), ("1", "1", "01/03/2023", "1")], "EstacaoCodigo string, NivelConsistencia string, Data string, Chuva01 string")
+    assert tuples(shape.rain_records(rain), "Data_Hora_Medicao", "Chuva_Adotada") == [("2023-02-01 12:00:00", "7,5"), ("2023-03-01 12:00:00", "1")]
+
+
+def test_reports_hold_their_facets(spark):
+    from rillstone.operators import report
+
+    df = readings(spark, [("a", f"2024-01-{d:02d} {h:02d}:00:00", float(h)) for d in (1, 2, 4) for h in range(6)] + [("b", "2024-01-04 00:00:00", 900.0)] * 2)
+    f = report.frequency(df, "ts", "station")
+    assert f["coverage"].first().n == 20 and f["mean_rows_per_day"].first().mean_rows == 6.67 and f["top_gaps"].first().minutes == 60
+    assert [str(r[0]) for r in report.missing(df, "ts")["first_gaps"].collect()] == ["2024-01-03"]
+    d = report.duplicates(df, ["station", "ts"])
+    assert d["exact"].first().duplicates == 1 and d["keys"].first().n_keys == 1
+    o = report.outliers(df, "value", "ts", "station")
+    assert o["summary"].first().outliers == 2 and o["top"].first().value == 900.0
+    assert {r.station: r.outliers for r in o["by_station"].collect()} == {"a": 0, "b": 2}

@@ -79,3 +79,8 @@ def test_stream_equals_batch_in_any_order(spark, tmp_path):
             incremental.load_new_files(spark, str(folder), schemas.EVENT, f"st.{name}", ["event_id"], str(tmp_path / f"cp-{name}"), lambda df: df.withColumn("value", F.col("value")))
     a, b = spark.table("st.a"), spark.table("st.b")
     assert a.count() == 7 and dedupe.same_bag(a, b, a.columns).first()["equal"]
+
+
+def test_frozen_schema(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"k": 1, "v": "x"}\n')
+    assert readers.frozen_schema(spark, str(tmp_path)).simpleString() == "struct<k:bigint,v:string>"
