@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillstone.functions import scalars as S
-from rillstone.shared import materialize
 
 
 def coverage(df: DataFrame, ts: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -43,15 +43,18 @@ def gaps(df: DataFrame, ts: str, groups: Sequence[str], tie: Sequence[str] = ())
     return df.filter(F.col(ts).isNotNull()).withColumn("gap_min", S.minutes_between(F.lag(ts).over(w), F.col(ts)))
 
 
-def gaps_overall(df: DataFrame, ts: str, tie: Sequence[str] = ()) -> DataFrame:
-    """As ``gaps`` over the whole series as one, without sending it to one task: readings follow each other within a
-    day, and a day's first follows the last of the last day before it, found among a row per day."""
+def gaps_by_day(df: DataFrame, ts: str, groups: Sequence[str] = (), tie: Sequence[str] = ()) -> DataFrame:
+    """As ``gaps``, for a whole series or groups of which one may hold much of it: readings follow each other within a day,
+    and a day's first follows the last of the group's day before, found among a row per group and day. So no task gets
+    more than a day of a group."""
     dated = df.filter(F.col(ts).isNotNull()).withColumn("__day", F.to_date(ts))
-    ends = materialize(dated.groupBy("__day").agg(F.max(ts).alias("__last")), "day-ends")
-    before = ends.select("__day", F.lag("__last").over(Window.orderBy("__day")).alias("__before"))
-    w = Window.partitionBy("__day").orderBy(ts, *tie)
-    met = dated.withColumn("__prev", F.lag(ts).over(w)).join(before, "__day")
-    return met.withColumn("gap_min", S.minutes_between(F.coalesce("__prev", "__before"), F.col(ts))).drop("__day", "__prev", "__before")
+    ends = dated.groupBy(*groups, "__day").agg(F.max(ts).alias("__last"))
+    order = (Window.partitionBy(*groups) if groups else Window).orderBy("__day")
+    before = ends.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__day").alias("__d"), F.lag("__last").over(order).alias("__before"))
+    w = Window.partitionBy(*groups, "__day").orderBy(ts, *tie)
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)], F.col("__day") == F.col("__d"))
+    met = dated.withColumn("__prev", F.lag(ts).over(w)).join(before, same)
+    return met.withColumn("gap_min", S.minutes_between(F.coalesce("__prev", "__before"), F.col(ts))).select(*df.columns, "gap_min")
 
 
 def gap_histogram(with_gaps: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def run(spark: SparkSession, feed: DataFrame, prefix: str = "", highest: float =
     typed = spark.table(f"{bronze}.reading").withColumn("ts", S.to_ts(F.col("ts")))
     checks = {"no_station": F.col("station").isNotNull(), "bad_ts": F.col("ts").isNotNull(), "bad_value": F.col("value").isNotNull(), "out_of_bounds": F.col("value") <= highest}
     valid, aside = shape.split_valid(typed, checks)
-    sinks.merge_insert(dedupe.first_by(valid, ["station", "sensor", "ts"], [F.desc("event_id")]), f"{silver}.reading", ["station", "sensor", "ts"])
+    sinks.merge_insert(dedupe.first_by(valid, ["station", "sensor", "ts"], [F.desc("event_id")]), f"{silver}.reading", ["station", "sensor", "ts"], prune="ts")
     sinks.merge_insert(aside, f"{silver}.quarantine", ["event_id"])
 
     reading = spark.table(f"{silver}.reading")
@@ -41,5 +41,5 @@ def run(spark: SparkSession, feed: DataFrame, prefix: str = "", highest: float =
 
     fact = star.fact_daily(of("level", "mean", level_scale), [of("flow", "mean"), of("rain", "sum"), of("temp", "mean")], ["station", "date"])
     keyed = star.with_keys(fact, [(spark.table(f"{gold}.dim_location"), ["station"], "location_key"), (spark.table(f"{gold}.dim_time").select("date", "time_key"), ["date"], "time_key")])
-    sinks.merge_insert(keyed.select("location_key", "time_key", "level", "flow", "rain", "temp"), f"{gold}.fact_daily_level", ["location_key", "time_key"])
+    sinks.merge_insert(keyed.select("location_key", "time_key", "level", "flow", "rain", "temp"), f"{gold}.fact_daily_level", ["location_key", "time_key"], prune="time_key")
     return layers

@@ -115,7 +115,7 @@ def gap_minutes(spark, d):
 
 @query(f"select event_id, round((epoch_us(ts) - epoch_us(lag(ts) over (order by ts, event_id))) / 60000000.0::double, 4) as gap_min from {E}")
 def gap_series(spark, d):
-    return profile.gaps_overall(events(spark, d), "ts", ["event_id"]).select("event_id", F.round("gap_min", 4).alias("gap_min"))
+    return profile.gaps_by_day(events(spark, d), "ts", (), ["event_id"]).select("event_id", F.round("gap_min", 4).alias("gap_min"))
 
 
 @query(f"select floor(gap_min)::bigint as minutes, count(*) as n from {_GAPS} where gap_min is not null group by 1")
@@ -138,7 +138,7 @@ def _rounded(c: DataFrame) -> DataFrame:
 
 @query(f"select station, {_CADENCE} from {_GAPS} where gap_min is not null group by station")
 def cadence_by_station(spark, d):
-    return _rounded(profile.cadence(profile.gaps(events(spark, d), "ts", ["station"], ["event_id"]), ["station"], EXACT))
+    return _rounded(profile.cadence(profile.gaps_by_day(events(spark, d), "ts", ["station"], ["event_id"]), ["station"], EXACT))
 
 
 @query(f"select {_CADENCE} from {_GAPS} where gap_min is not null")

@@ -96,7 +96,10 @@ def test_gaps_overall_equal_one_window(spark):
     rows = [("a", f"2024-01-{d:02d} {h:02d}:00:00", 1.0) for d in (1, 2, 5) for h in (3, 9, 20)] + [("b", "2024-01-02 09:30:00", 1.0), ("b", None, 1.0)]
     df = readings(spark, rows)
     one = profile.gaps(df.withColumn("all", F.lit(1)), "ts", ["all"], ["station"])
-    assert tuples(profile.gaps_overall(df, "ts", ["station"]).fillna(-1), "station", "gap_min") == tuples(one.fillna(-1), "station", "gap_min")
+    assert tuples(profile.gaps_by_day(df, "ts", (), ["station"]).fillna(-1), "station", "gap_min") == tuples(one.fillna(-1), "station", "gap_min")
+    df = df.withColumn("station", F.when(F.col("station") == "a", "a"))  # a null group too
+    a, b = profile.gaps_by_day(df, "ts", ["station"]), profile.gaps(df, "ts", ["station"])
+    assert dedupe.same_bag(a, b, b.columns).first()["equal"] and a.count() == 10
 
 
 def test_rain_without_readings_is_null(spark):
