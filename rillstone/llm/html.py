@@ -378,10 +378,11 @@ def training_page(rng: random.Random) -> list[tuple[str, int]]:
             tag("</h1></header>" if inner else "</h1>")
         if rng.random() < 0.15:
             share()
+        plain = ["div"] if rng.random() < 0.2 else ["p"] * 8 + ["div", "blockquote", "section"]
         for _ in range(rng.randint(1, 14)):
             r = rng.random()
             if r < 0.7:
-                name = rng.choice(["p"] * 8 + ["div", "blockquote", "section"])
+                name = rng.choice(plain)
                 tag(f"<{name}>" + rng.choice(["", "", "", "<b>", "<span>"]))
                 say(sentence(1, 120), 1)
                 if rng.random() < 0.2:
@@ -409,7 +410,7 @@ def training_page(rng: random.Random) -> list[tuple[str, int]]:
                 rng.choice([ad, share, side, notice, form])()
 
     tag("<html><head><title>x</title><style>p{}</style><script>var a='</p>';</script></head><body>")
-    for part in (notice, head, nav, ad, side, form):
+    for part in (notice, head, nav, ad, side, form, lambda: links(2, 6)):
         if rng.random() < 0.4:
             part()
     kind = rng.random()
