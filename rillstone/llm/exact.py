@@ -69,7 +69,7 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = told.filter(~F.col("kept")).select("doc_id", "digest")
     stays = told.filter("kept").select("doc_id", "digest")
     twice = materialize(gone.join(stays, (gone.doc_id.eqNullSafe(stays.doc_id)) & (gone.digest == stays.digest), "left_semi").distinct(), "repeated")
-    whole = docs.select(F.struct(*docs.columns).alias("r"), F.col(id_col).alias("i"), digest(text_col).alias("d"))
+    whole = docs.select(F.struct(F.col("*")).alias("r"), F.col(id_col).alias("i"), digest(text_col).alias("d"))
     match = lambda x: (F.col("i").eqNullSafe(x["doc_id"])) & (F.col("d") == x["digest"])
     once = whole.join(gone.distinct(), match(gone), "left_anti").select("r")
     if twice.isEmpty():

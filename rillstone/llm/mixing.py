@@ -90,7 +90,7 @@ def mix_plan(
         F.col(source_col).alias("source"),
         size_of(F.col(text_col)).alias("size"),
         uniform(seed, key).alias("u"),
-        *([F.struct(*docs.columns).alias("row")] if carry else []),
+        *([F.struct(F.col("*")).alias("row")] if carry else []),
     )
     if not carry:
         plain = materialize(plain, "sizes")

@@ -133,5 +133,5 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     gone = told.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
     gone = materialize(gone.distinct(), "near")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    whole = docs.select(F.struct(*docs.columns).alias("r"), F.col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("h"))
+    whole = docs.select(F.struct(F.col("*")).alias("r"), F.col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("h"))
     return whole.join(gone, (F.col("i") == F.col("gone_id")) & (F.col("h") == F.col("gone_hash")), "left_anti").select("r.*")

@@ -1,54 +1,21 @@
-"""Tables written between steps, in the folder that driver and executors share.
-
-The folder is the one that the session names in ``spark.checkpoint.dir``; only where that is unset
-(tests, a notebook) a temporary folder of this machine is used. A written table cuts lineage: a lost
-executor costs the tasks it ran, not the steps before them.
-"""
+"""What the operators of this subpackage share: tables between steps, bounded Arrow batches, the words of a text."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from rillstone.shared import materialize, new_path, shared_dir, table
 
-_OWN: dict[str, str] = {}
+__all__ = ["WORDS", "bounded_batches", "materialize", "new_path", "shared_dir", "table"]
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session, without a trailing slash."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="rillstone-")
-    return _OWN[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/rillstone/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df once as Parquet in the shared folder and returns a reader of what was written."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
-    """Keeps Arrow batches small where the session leaves them at Spark's defaults, as texts may be long."""
+    """Keeps Arrow batches small where the session doesn't set their size, as texts may be long."""
     for key, value in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)),
         ("spark.sql.execution.arrow.maxBytesPerBatch", str(size)),
     ):
-        if spark.conf.get(key, None) in (None, "10000", "67108864", "268435456", "2147483647", "-1", "256MB", "64MB"):
+        if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
