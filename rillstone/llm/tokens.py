@@ -20,6 +20,15 @@ CACHED = 64  # longest chunk that is kept
 _PIECE = 1 << 18  # characters of a text whose chunks are held at once
 
 
+class _Table(dict):
+    """chunk -> ids; chunks of the present group that aren't kept are found in ``here``."""
+
+    here: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.here[chunk]
+
+
 class Encoder:
     """ids of texts as arrays of unsigned 32-bit integers; at most ``entries`` chunks are kept."""
 
@@ -30,27 +39,24 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.entries = entries
-        self.kept: dict[str, bytes] = {}
+        self.kept = _Table()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """ids of chunks that are not kept; keeps short ones while there is room, so the frequent ones stay."""
-        new = [c for c in chunks if c not in self.kept]
-        here = dict(zip(new, self._whole(new), strict=True))
+    def _learn(self, new: set[str]) -> None:
+        """Encodes chunks that are not kept; keeps short ones while there is room, so the frequent ones stay."""
+        chunks = list(new)
+        here = dict(zip(chunks, self._whole(chunks), strict=True))
         room = self.entries - len(self.kept)
+        self.kept.here = here
         if room > 0:
             self.kept.update([(c, b) for c, b in here.items() if len(c) <= CACHED][:room])
-        return here
 
     def _joined(self, chunks: list[str]) -> bytes:
         kept = self.kept
-        try:
-            return b"".join([kept[c] for c in chunks])
-        except KeyError:
-            here = self._learn(set(chunks))
-            return b"".join([kept[c] if c in kept else here[c] for c in chunks])
+        self._learn({c for c in chunks if c not in kept})
+        return b"".join(map(kept.__getitem__, chunks))
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
@@ -85,12 +91,11 @@ class Encoder:
 
     def _group(self, group: list[tuple[str | None, list[str] | None]]) -> Iterator[np.ndarray]:
         kept = self.kept
-        here = self._learn({c for _, chunks in group for c in chunks or ()})
-        for text, chunks in group:
-            if chunks is None:
-                yield self(text)
-            else:
-                yield np.frombuffer(b"".join([kept[c] if c in kept else here[c] for c in chunks]), "<u4")
+        self._learn({c for _, chunks in group if chunks for c in chunks if c not in kept})
+        get = kept.__getitem__
+        ready = [None if chunks is None else b"".join(map(get, chunks)) for _, chunks in group]
+        for (text, _), body in zip(group, ready, strict=True):
+            yield self(text) if body is None else np.frombuffer(body, "<u4")
 
 
 _ENCODERS: dict[str, Encoder] = {}
