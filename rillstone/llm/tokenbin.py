@@ -1,7 +1,7 @@
 """Token ids in binary files: patched frame-of-reference blocks with an index of block starts.
 
-A block holds ``BLOCK`` ids. Its least id is subtracted; the rest is packed at the width that holds
-``PERCENTILE`` of its values, and larger values lose their high bits to an exception list (place, value).
+A block holds ``BLOCK`` ids. Its least id is subtracted; the rest is packed, bit plane by bit plane, at the width of the
+percentile among ``PERCENTILES`` that makes the block smallest, and larger values go to an exception list (place, value).
 A payload is
 
     header   6 x uint32  magic, ids, blocks, ids a block, bytes of the packed part, exceptions
@@ -9,7 +9,7 @@ A payload is
     bases    blocks x uint32
     widths   blocks x uint8
     packed   blocks, each ``BLOCK * width / 8`` bytes
-    places   exceptions x uint16, values exceptions x uint32
+    places   exceptions x uint8, values exceptions x uint32
 
 Documents are dealt by ranges of (doc_id, hash of the text), sorted within each range, encoded and written
 as one row a segment: whole documents of at least ``SEGMENT`` ids together, with their ids and lengths. A range is a
@@ -34,14 +34,17 @@ from rillstone.llm.tokens import encoder, vocabulary
 
 MAGIC = 0x31524F46
 BLOCK = 256
-PERCENTILE = 0.9
+PERCENTILES = (0.75, 0.9, 0.98, 1.0)
+_EXCEPTION = 40  # bits of an exception
 SEGMENT = 1 << 16
 END = 0
 _SCHEMA = "shard int, segment int, first_id long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
-def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
+def pack(ids: np.ndarray, block: int = BLOCK, percentiles: tuple[float, ...] = PERCENTILES) -> bytes:
     ids = np.ascontiguousarray(ids, np.uint32)
+    if block % 8 or not 0 < block <= 256:
+        raise ValueError("a block has a multiple of 8 ids, 256 at most")
     n = len(ids)
     blocks = -(-n // block)
     if not blocks:
@@ -51,24 +54,30 @@ def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) ->
     grid = grid.reshape(blocks, block)
     bases = grid.min(axis=1)
     rest = grid - bases[:, None]
-    at = min(block - 1, int(np.ceil(block * percentile)) - 1)
-    widths = np.array([int(x).bit_length() for x in np.partition(rest, at, axis=1)[:, at]], np.uint8)
+    kth = np.array(sorted({max(0, int(np.ceil(block * p)) - 1) for p in percentiles}))
+    tops = np.partition(rest, kth, axis=1)[:, kth]
+    bits = np.zeros(tops.shape, np.int64)
+    for k in range(32):
+        bits += tops >= np.uint32(1 << k)
+    choice = np.argmin(bits * block + (block - 1 - kth) * _EXCEPTION, axis=1)
+    widths = bits[np.arange(blocks), choice].astype(np.uint8)
     starts = np.concatenate(([0], np.cumsum(widths.astype(np.int64) * (block // 8))))
     packed = np.zeros(int(starts[-1]), np.uint8)
-    high = (rest >> widths[:, None].astype(np.uint32)) if widths.max() < 32 else np.where(widths[:, None] < 32, rest >> np.minimum(widths, 31)[:, None].astype(np.uint32), 0)
-    rows, places = np.nonzero(high)
+    tops = ((1 << widths.astype(np.uint64)) - 1).astype(np.uint32)  # the largest value of each width
+    rows, places = np.nonzero(rest > tops[:, None])
     for w in np.unique(widths):
         if not w:
             continue
         own = np.nonzero(widths == w)[0]
-        bits = np.unpackbits(rest[own].astype(">u4").view(np.uint8).reshape(len(own), block, 4), axis=2)[:, :, 32 - int(w) :]
-        body = np.packbits(bits.reshape(len(own), -1), axis=1)
-        packed[(starts[own][:, None] + np.arange(body.shape[1])).ravel()] = body.ravel()
+        values, plane = rest[own], block // 8
+        at_byte = starts[own][:, None] + np.arange(plane)
+        for k in range(int(w)):
+            packed[at_byte + k * plane] = np.packbits((values & np.uint32(1 << k)) != 0, axis=1)
     first = np.searchsorted(rows, np.arange(blocks))
     index = np.stack([starts[:-1], first], axis=1).astype("<u4")
     head = np.array([MAGIC, n, blocks, block, len(packed), len(rows)], "<u4")
     return b"".join(
-        [head.tobytes(), index.tobytes(), bases.astype("<u4").tobytes(), widths.tobytes(), packed.tobytes(), places.astype("<u2").tobytes(), rest[rows, places].astype("<u4").tobytes()]
+        [head.tobytes(), index.tobytes(), bases.astype("<u4").tobytes(), widths.tobytes(), packed.tobytes(), places.astype(np.uint8).tobytes(), rest[rows, places].astype("<u4").tobytes()]
     )
 
 
@@ -89,19 +98,19 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
     at += blocks
     packed = np.frombuffer(payload, np.uint8, size, at)
     at += size
-    places = np.frombuffer(payload, "<u2", exceptions, at)
-    values = np.frombuffer(payload, "<u4", exceptions, at + 2 * exceptions)
+    places = np.frombuffer(payload, np.uint8, exceptions, at)
+    values = np.frombuffer(payload, "<u4", exceptions, at + exceptions)
     out = np.zeros((last - first, block), np.uint32)
     for w in np.unique(widths[first:last]):
         if not w:
             continue
         own = first + np.nonzero(widths[first:last] == w)[0]
-        length = block * int(w) // 8
-        body = packed[index[own, 0][:, None] + np.arange(length)]
-        bits = np.unpackbits(body, axis=1).reshape(len(own), block, int(w))
-        full = np.zeros((len(own), block, 32), np.uint8)
-        full[:, :, 32 - int(w) :] = bits
-        out[own - first] = np.packbits(full, axis=2).reshape(len(own), block, 4).copy().view(">u4")[:, :, 0]
+        plane = block // 8
+        at_byte = index[own, 0][:, None] + np.arange(plane)
+        got = np.zeros((len(own), block), np.uint32)
+        for k in range(int(w)):
+            got |= np.unpackbits(packed[at_byte + k * plane], axis=1).astype(np.uint32) << np.uint32(k)
+        out[own - first] = got
     bounds = np.append(index[:, 1], exceptions)
     lo, hi = int(bounds[first]), int(bounds[last])
     rows = np.repeat(np.arange(first, last), np.diff(bounds[first : last + 1]))
@@ -118,7 +127,7 @@ def write_tokens(
     tokenizer: str | None = None,
     end: int = END,
     block: int = BLOCK,
-    percentile: float = PERCENTILE,
+    percentiles: tuple[float, ...] = PERCENTILES,
     segment: int = SEGMENT,
 ) -> str:
     """Writes the ids of all documents in ascending order of id; returns the folder. ``tokenizer`` is the path of
@@ -145,7 +154,7 @@ def write_tokens(
         number, first, size, shard = 0, 0, 0, 0
 
         def row() -> pa.RecordBatch:
-            payload = pack(np.concatenate(held), block, percentile)
+            payload = pack(np.concatenate(held), block, percentiles)
             columns = [[shard], [number], [first], [size], [list(ids)], [list(lengths)], [payload]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             names = ["shard", "segment", "first_id", "n_ids", "doc_ids", "lengths", "payload"]
