@@ -17,85 +17,120 @@ import numpy as np
 CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
 CACHED = 64  # longest chunk that is kept
-_PIECE = 1 << 18  # characters of a text whose chunks are held at once
+_GROUP = 1 << 18  # characters of texts, or of a part of a text, whose chunks are held at once
+_AS_IS = "\x1f"  # marks keys of chunks that don't start with a single blank or line end
 
 
-class _Table(dict):
-    """chunk -> ids; chunks of the present group that aren't kept are found in ``here``."""
+def _key(chunk: str) -> str:
+    """The name of a chunk: without the blank it starts with, as it is after a line end, else marked."""
+    if len(chunk) > 1 and chunk[1] not in " \n\t\r":
+        if chunk[0] == " ":
+            return chunk[1:]
+        if chunk[0] == "\n":
+            return chunk
+    return _AS_IS + chunk
 
-    here: dict[str, bytes] = {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        return self.here[chunk]
+def _keys(text: str) -> list[str] | None:
+    """Names of a text's chunks in order; None if it has white space that isn't told apart here."""
+    flat = text.replace("\n", " ")
+    if flat.isprintable() and "  " not in flat and flat[0] != " " and flat[-1] != " ":
+        keys = text.replace("\n", " \n").split(" ")  # every white space stands alone
+        keys[0] = _AS_IS + keys[0]
+        return keys
+    return None if ODD_SPACE.search(text) else list(map(_key, CHUNK.findall(text)))
 
 
 class Encoder:
     """ids of texts as arrays of unsigned 32-bit integers; at most ``entries`` chunks are kept."""
 
-    def __init__(self, path: str, entries: int = 500_000):
+    def __init__(self, path: str, entries: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.entries = entries
-        self.kept = _Table()
+        self.kept: dict[str, bytes] = {}
+        vocabulary_ = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary_.values()) + 1, np.int64)
+        for token, i in vocabulary_.items():
+            self.bytes_of[i] = len(token)  # byte-level: a character of a token is a byte of the text
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
+    def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
-        """Encodes chunks that are not kept; keeps short ones while there is room, so the frequent ones stay."""
-        chunks = list(new)
-        here = dict(zip(chunks, self._whole(chunks), strict=True))
+    def _learn(self, keys: set[str]) -> dict[str, bytes]:
+        """ids of chunks that aren't kept, by key. Chunks that start with one white space are encoded as one text and told
+        apart by their bytes. Short ones are kept while there is room, so the frequent ones stay."""
+        alone = [k for k in keys if k[0] == _AS_IS]
+        here = dict(zip(alone, self._each([k[1:] for k in alone]), strict=True)) if alone else {}
+        rest = [k for k in keys if k[0] != _AS_IS]
+        if rest:
+            chunks = [k if k[0] == "\n" else " " + k for k in rest]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in chunks])
+            places = np.cumsum(self.bytes_of[ids])
+            stops = np.searchsorted(places, ends) + 1
+            if places[-1] == ends[-1] and np.array_equal(places[stops - 1], ends):
+                raw, at = ids.tobytes(), (stops * 4).tolist()
+                here.update(zip(rest, map(raw.__getitem__, map(slice, [0, *at], at)), strict=False))
+            else:
+                here.update(zip(rest, self._each(chunks), strict=True))
         room = self.entries - len(self.kept)
-        self.kept.here = here
         if room > 0:
-            self.kept.update([(c, b) for c, b in here.items() if len(c) <= CACHED][:room])
-
-    def _joined(self, chunks: list[str]) -> bytes:
-        kept = self.kept
-        self._learn({c for c in chunks if c not in kept})
-        return b"".join(map(kept.__getitem__, chunks))
+            self.kept.update([(k, b) for k, b in here.items() if len(k) <= CACHED][:room])
+        return here
+
+    def _bodies(self, group: list[list[str]]) -> list[bytes]:
+        """The ids of lists of chunks; new chunks of all lists are encoded together."""
+        found = [list(map(self.kept.get, keys)) for keys in group]
+        gaps = [[i for i, b in enumerate(bodies) if b is None] for bodies in found]
+        new = {keys[i] for keys, at in zip(group, gaps, strict=True) for i in at}
+        if new:
+            here = self._learn(new)
+            for keys, bodies, at in zip(group, found, gaps, strict=True):
+                for i in at:
+                    bodies[i] = here[keys[i]]
+        return list(map(b"".join, found))
 
     def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, "<u4")
+        return next(self.each([text]))
+
+    def _long(self, text: str) -> bytes:
         if ODD_SPACE.search(text):
-            return np.frombuffer(self._whole([text])[0], "<u4")
+            return self._each([text])[0]
         parts, held, size = [], [], 0
-        if len(text) <= _PIECE:
-            parts.append(self._joined(CHUNK.findall(text)))
-        else:
-            for m in CHUNK.finditer(text):
-                held.append(m[0])
-                size += len(m[0])
-                if size > _PIECE:
-                    parts.append(self._joined(held))
-                    held, size = [], 0
-            parts.append(self._joined(held))
-        return np.frombuffer(b"".join(parts), "<u4")
+        for m in CHUNK.finditer(text):
+            held.append(_key(m[0]))
+            size += len(m[0])
+            if size > _GROUP:
+                parts += self._bodies([held])
+                held, size = [], 0
+        return b"".join(parts + self._bodies([held]))
 
     def each(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-        """The ids of every text; the new chunks of several texts are encoded together."""
-        group: list[tuple[str | None, list[str] | None]] = []
+        """The ids of every text, in order."""
+        group: list[list[str] | bytes] = []  # chunks, or ids of a text that is encoded by itself
         size = 0
         for text in texts:
-            short = bool(text) and len(text) <= _PIECE and not ODD_SPACE.search(text)
-            group.append((text, CHUNK.findall(text) if short else None))
-            size += len(text or "")
-            if size > _PIECE:
-                yield from self._group(group)
+            if not text:
+                group.append(b"")
+            elif len(text) > _GROUP:
+                group.append(self._long(text))
+            else:
+                keys = _keys(text)
+                group.append(self._each([text])[0] if keys is None else keys)
+                size += len(text)
+            if size > _GROUP:
+                yield from self._told(group)
                 group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, group: list[tuple[str | None, list[str] | None]]) -> Iterator[np.ndarray]:
-        kept = self.kept
-        self._learn({c for _, chunks in group if chunks for c in chunks if c not in kept})
-        get = kept.__getitem__
-        ready = [None if chunks is None else b"".join(map(get, chunks)) for _, chunks in group]
-        for (text, _), body in zip(group, ready, strict=True):
-            yield self(text) if body is None else np.frombuffer(body, "<u4")
+        yield from self._told(group)
+
+    def _told(self, group: list[list[str] | bytes]) -> Iterator[np.ndarray]:
+        bodies = iter(self._bodies([x for x in group if isinstance(x, list)]))
+        for x in group:
+            yield np.frombuffer(next(bodies) if isinstance(x, list) else x, "<u4")
 
 
 _ENCODERS: dict[str, Encoder] = {}
