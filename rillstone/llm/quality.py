@@ -14,7 +14,7 @@ Scores are computed for whole texts, in tasks, from the text alone.
 
 Defined cases: a null text is empty; an empty text has the zero vector and gets a score like any other; if the learnable
 labels lack a class, every score is the share of label 1 (0.5 without any label); repeated rows score alike; labels that
-repeat an id count once, as the larger; null ids are scored; an empty table gives an empty table; extra columns are carried.
+repeat an id count once, as the larger; null ids are scored and told as held out; an empty table gives an empty table; extra columns are carried.
 """
 
 from __future__ import annotations
