@@ -75,7 +75,7 @@ def celsius(fahrenheit: Column) -> Column:
 
 
 def hectopascal(inches: Column) -> Column:
-    """Inches of mercury; the factor is the one in use by the feeds."""
+    """Inches of mercury; the factor is a fixed value, the one that the feeds use."""
     return inches * 33.8639
 
 

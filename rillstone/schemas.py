@@ -13,10 +13,11 @@ def struct(text: str) -> T.StructType:
     return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (x.split(" ") for x in text.split(", "))])
 
 
+# Field names as the feeds land them.
 WEATHER = struct(
     "icaoId string, obsTime long, reportTime string, temp double, dewp double, wdir double, wspd double, visib double, altim double, lat double, lon double, rawOb string"
 )
-#: Telemetry as it lands: every field is text.
+#: Telemetry as it lands: every field is text. Fixed values.
 TELEMETRY = T.StructType(
     [
         T.StructField(n, T.StringType())
