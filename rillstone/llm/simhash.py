@@ -129,7 +129,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows of a component other than its smallest id, with all columns. Rows without an id
     stay, and rows that repeat the id that stays (exact dedup is a step of its own)."""
-    told = near_groups(docs, id_col, text_col)
+    return without(docs, near_groups(docs, id_col, text_col), id_col, text_col)
+
+
+def without(docs: DataFrame, told: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose doc_id and text_hash have another component_id in told."""
     gone = told.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
     gone = materialize(gone.distinct(), "near")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
