@@ -66,7 +66,7 @@ def format_turns(
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), empty("role").alias("role"), empty("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, plain=True)
         open_, mid, close = range(first_control, first_control + 3)
         for b in batches:
             roles, texts = b.column(2).to_pylist(), b.column(3).to_pylist()
@@ -123,7 +123,7 @@ def read_back(formatted: DataFrame, tokenizer: str | None = None, first_control:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode_ids = encoder(tokenizer).tokenizer.decode
+        decode_ids = encoder(tokenizer, plain=True).tokenizer.decode
         decode = lambda x: decode_ids(x, skip_special_tokens=False) if x else ""
         now: list | None = None
 

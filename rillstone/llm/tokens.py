@@ -4,7 +4,9 @@ A byte-level BPE vocabulary never merges across the start of white space that fo
 white space, so a text may be cut there: each chunk (white space, then characters that are none) has the
 ids it has within the text. Chunks repeat, so a bounded table of chunk -> ids spares most of the encoding; it is looked up
 for all chunks of several texts at once. Its keys are the chunks' bytes themselves, so it can't confuse two of them.
-Texts with white space other than blank, tab and line ends are encoded whole.
+Texts with white space other than blank, tab and line ends are encoded whole, and so are those that hold an added token
+(as the literal <|endoftext|>), which has its own id as in the tokenizers library's plain call. An encoder made with
+``plain`` takes the special ones among them as ordinary text.
 """
 
 from __future__ import annotations
@@ -76,12 +78,13 @@ class _Table:
 class Encoder:
     """ids of texts as arrays of unsigned 32-bit integers; at most ``entries`` chunks are kept, those met first."""
 
-    def __init__(self, path: str, entries: int = 1_000_000):
+    def __init__(self, path: str, entries: int = 1_000_000, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain and t.special)]
         ids = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(ids.values()) + 1, np.int64)
         for token, i in ids.items():
@@ -203,7 +206,7 @@ class Encoder:
         for text in texts:
             if not text:
                 group.append(np.empty(0, "<u4"))
-            elif not text.replace("\n", " ").isprintable() and ODD_SPACE.search(text):
+            elif any(t in text for t in self.added) or not text.replace("\n", " ").isprintable() and ODD_SPACE.search(text):
                 group.append(self._each([text])[0])
             elif len(text) > 2 * _GROUP:
                 group.append(self._long(text))
@@ -222,15 +225,15 @@ class Encoder:
             yield next(cut) if isinstance(x, str) else x
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str | None = None) -> Encoder:
-    """The process's encoder for a vocabulary file, byte_bpe_50k.json by default."""
-    path = path or vocabulary()
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str | None = None, plain: bool = False) -> Encoder:
+    """The process's encoder for a vocabulary file, byte_bpe_50k.json by default; plain: special tokens are text."""
+    key = path or vocabulary(), plain
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(key[0], plain=plain)
+    return _ENCODERS[key]
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
