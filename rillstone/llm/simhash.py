@@ -9,9 +9,10 @@ kept bits of some table, since at most r vectors always have a nonzero v orthogo
 the radius is missed; a table keeps about 4/7 of the 64 bits for r = 2.
 
 Work goes by distinct fingerprint: copies are one class whatever their number. A bucket of at most ``SMALL``
-fingerprints is compared in place and gives its true links only. In a larger one each fingerprint names the 65
-values within one bit of it; two fingerprints within two bits share such a value, at most 65 share any one, and
-each is linked to the least. Rows grow in proportion to the fingerprints; nothing is capped.
+fingerprints is compared in place. Those of a larger one agree in the kept bits and may differ in the free ones, so
+the same masks are laid over the free bits: a pair within the radius meets again in a smaller bucket. A bucket is not
+split further when so few bits are free that at most 64 values fit in it; for r = 2 that is so after three rounds.
+Only true links are given; nothing is capped.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint 0 and is linked like any
 other; null ids keep their row and never become a component's id unless it has no other (then null); an
@@ -20,6 +21,7 @@ empty table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillstone.llm.components import components
-from rillstone.llm.store import bounded_batches, materialize
+from rillstone.llm.store import Scratch, bounded_batches, join_split, materialize, small
 
 WIDTH = 3
 RADIUS = 2
@@ -69,61 +71,55 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
-def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
-    """The 2^(radius+1) - 1 masks, as signed longs."""
+def covering_masks(radius: int = RADIUS, free: int = (1 << 64) - 1) -> list[int]:
+    """The 2^(radius+1) - 1 masks over the free bits, as unsigned longs."""
     top = 1 << (radius + 1)
-    masks = []
-    for v in range(1, top):
-        m = sum(1 << i for i in range(bits) if ((i % (top - 1) + 1) & v).bit_count() % 2)
-        masks.append(m - (1 << 64) if m >> 63 else m)
-    return masks
-
-
-def links(classes: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFrame:
-    """Links (a, b) between distinct fingerprints whose components are those of all pairs within the radius."""
-    if radius > 2:
-        raise ValueError("large buckets are compared through values one bit away: radius 2 at most")
-    tables = F.explode(
-        F.array(*[F.struct(F.lit(k).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(covering_masks(radius))])
-    )
-    rows = classes.select("fp", tables.alias("t")).select("fp", "t.*")
-    full = rows.groupBy("v", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = materialize(rows.join(full, ["v", "key"]), "buckets")
+    places = [i for i in range(64) if free >> i & 1]
+    return [sum(1 << i for k, i in enumerate(places) if ((k % (top - 1) + 1) & v).bit_count() % 2) for v in range(1, top)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def links(classes: DataFrame, radius: int = RADIUS, most: int = SMALL, into: Scratch | None = None) -> DataFrame:
+    """Links (a, b) between distinct fingerprints: all pairs within the radius."""
+    if not 0 <= radius <= 3:
+        raise ValueError("a radius of 0 to 3 bits")
+    spark = classes.sparkSession
+    into = into or Scratch(spark)
+    last = max(6, (1 << radius) - 1)  # with so many free bits a bucket is compared whatever it holds; with more, every mask keeps some
     near = f"transform(filter(f, y -> y > x and bit_count(x ^ y) <= {radius}), y -> struct(x as a, y as b))"
-    few = (
-        met.filter(F.col("n") <= small)
-        .groupBy("v", "key")
-        .agg(F.collect_list("fp").alias("f"))
-        .select(F.explode(F.expr(f"flatten(transform(f, x -> {near}))")).alias("l"))
-        .select("l.*")
-    )
-    balls = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)]
-    many = (
-        met.filter(F.col("n") > small)
-        .select("fp")
-        .distinct()
-        .select("fp", F.explode(F.array(*balls)).alias("value"))
-        .groupBy("value")
-        .agg(F.collect_list("fp").alias("f"))  # at most 65
-        .filter(F.size("f") > 1)
-        .select(F.array_min("f").alias("a"), F.explode("f").alias("b"))
-        .filter(F.expr(f"a <> b and bit_count(a ^ b) <= {radius}"))
-    )
-    return few.unionByName(many).distinct()
+    rows, kept, found = classes.select("fp", F.lit(0).cast("long").alias("kept")), {0}, []
+    while kept:
+        masks = sorted({(k, k | m) for k in kept for m in covering_masks(radius, ~k & (1 << 64) - 1)})
+        split = {new for _, new in masks if (~new & (1 << 64) - 1).bit_count() > last}
+        table = spark.createDataFrame([(_signed(k), _signed(new), new in split) for k, new in masks], "kept long, next long, more boolean")
+        rows = rows.join(F.broadcast(table), "kept").select("fp", F.col("next").alias("kept"), "more").distinct()  # at most a few hundred masks
+        rows = into.write(rows.withColumn("key", F.xxhash64("kept", F.col("fp").bitwiseAND(F.col("kept")))), "buckets")
+        full = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("rows", F.col("n"))
+        met = into.write(join_split(rows, into.write(full, "sizes"), "key"), "met")
+        split_on = F.col("more") & (F.col("n") > most)
+        few = met.filter(~split_on).groupBy("key").agg(F.collect_list("fp").alias("f"))
+        found.append(few.select(F.explode(F.expr(f"flatten(transform(f, x -> {near}))")).alias("l")).select("l.*"))
+        rows = met.filter(split_on).select("fp", "kept")
+        kept = split if not rows.isEmpty() else set()
+    return functools.reduce(DataFrame.unionByName, found).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """One row per input row: doc_id, text_hash, fp, component_id (the smallest doc_id reachable, itself included)."""
-    prints = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    reach = materialize(components(links(classes, radius)), "components")
-    named = (
-        classes.join(reach, classes.fp == reach.node, "left")
-        .select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    )
+    step = Scratch(docs.sparkSession)
+    prints = step.write(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    classes = step.write(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "classes")
+    reach = components(links(classes, radius, into=step), step)
+    named = classes.join(reach, classes.fp == reach.node, "left").select("fp", "rows", "least", F.coalesce("component", "fp").alias("component"))
+    named = step.write(named, "named")
     heads = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = named.join(heads, "component").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    of = step.write(named.join(heads, "component").select("fp", "rows", "component_id"), "of")
+    told = materialize(join_split(prints, of, "fp").select("doc_id", "text_hash", "fp", "component_id"), "groups")
+    step.clear()
+    return told
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,7 +131,7 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def without(docs: DataFrame, told: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose doc_id and text_hash have another component_id in told."""
     gone = told.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
-    gone = materialize(gone.distinct(), "near")
+    gone = small(materialize(gone.distinct(), "near"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     whole = docs.select(F.struct(F.col("*")).alias("r"), F.col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("h"))
     return whole.join(gone, (F.col("i") == F.col("gone_id")) & (F.col("h") == F.col("gone_hash")), "left_anti").select("r.*")
