@@ -7,7 +7,7 @@ shape of its text. A two-label chain (boilerplate, main text) scores features pe
 is trained by maximum likelihood on labelled pages (``training_pages`` makes them from a seed: layouts, wrappers, names and
 words vary, the label of each block is known) and decoded by Viterbi.
 
-Defined cases: a null, empty or textless page has an empty text; an unclosed comment, script or tag runs to the page's end;
+Defined cases: a null, empty or textless page has an empty text; a text without markup is its own main text; an unclosed comment, script or tag runs to the page's end;
 unknown character references stay as they are; white space, non-breaking too, becomes one blank; null and repeated page ids
 are carried through; an empty table gives an empty table; extra columns are ignored.
 """
@@ -55,15 +55,32 @@ NAMES = {
     "share": {"share", "sharing", "social", "tags", "meta", "byline", "author", "bio", "buttons", "toolbar", "search", "login", "form"},
     "main": {"content", "article", "post", "entry", "story", "body", "main", "text", "prose", "page"},
 }
+#: What notices of rights say: fixed words.
+RIGHTS = re.compile(r"©|\(c\) *\d{4}|\bcopyright\b|all rights reserved|derechos reservados|tous droits réservés|alle rechte vorbehalten", re.I)
 _NAMED = {word: kind for kind, words in reversed(NAMES.items()) for word in words}
 _ANCESTORS = frozenset("article main nav header footer aside form ul ol table section blockquote pre figure figcaption button label select dialog menu address details".split())
 
 
+@dataclass(frozen=True)
+class Element:
+    """An open element and what it and those around it say; sets are shared with the element around where nothing is new."""
+
+    name: str = ""
+    tag: str = "none"  # the innermost that isn't inline
+    up: frozenset[str] = frozenset()  # of _ANCESTORS
+    near: str = "none"  # the kind of NAMES said last
+    said: frozenset[str] = frozenset()
+
+    def inner(self, name: str, kinds: tuple[str, ...]) -> Element:
+        up = self.up if name not in _ANCESTORS or name in self.up else self.up | {name}
+        said = self.said if self.said.issuperset(kinds) else self.said.union(kinds)
+        return Element(name, self.tag if name in INLINE else name, up, kinds[-1] if kinds else self.near, said)
+
+
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
-    names: tuple[str, ...]  # kinds of NAMES said by the open elements, outermost first
+    at: Element
     links: float
 
 
@@ -77,28 +94,35 @@ def _kinds(attrs: str) -> tuple[str, ...]:
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a whole page, in order."""
+    """The leaf blocks of a whole page, in order, in time and memory proportional to its length: places of open elements
+    are kept by name, so none is searched for, and each element is closed once."""
     page = page or ""
     out: list[Block] = []
-    open_: list[tuple[str, tuple[str, ...]]] = []
+    open_ = [Element()]
+    where: dict[str, list[int]] = {}  # places of the open elements of a name, ascending
     parts: list[str] = []
     linked = hidden = 0
     links = 0
+    quoted = True  # whether quotes protect a tag's ">"; not any more after one that never ends
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split()) if parts else ""
         if text:
-            out.append(Block(text, tuple(t for t, _ in open_ if t not in INLINE), tuple(k for _, ks in open_ for k in ks), min(1.0, linked / len(text))))
+            out.append(Block(text, open_[-1], min(1.0, linked / len(text))))
         parts.clear()
         linked = 0
 
     def close_to(k: int) -> None:
         nonlocal hidden, links
-        for t, _ in open_[k:]:
-            hidden -= t in HIDDEN
-            links -= t == "a"
-        del open_[k:]
+        while len(open_) > k:
+            name = open_.pop().name
+            where[name].pop()
+            hidden -= name in HIDDEN
+            links -= name == "a"
+
+    def last(names) -> int:
+        return max((where[x][-1] for x in names if where.get(x)), default=0)
 
     def say(text: str) -> None:
         nonlocal linked
@@ -128,10 +152,11 @@ def blocks(page: str | None) -> list[Block]:
                 say("<")
                 at = lt + 1
             continue
-        m = _TAG.match(page, lt)
+        m = _TAG.match(page, lt) if quoted else None
         if m:
             name, attrs, at = m[1].lower(), m[2], m.end()
         else:  # a quote that never ends
+            quoted = False
             stop = page.find(">", lt)
             if stop < 0:
                 break
@@ -139,15 +164,12 @@ def blocks(page: str | None) -> list[Block]:
             name, attrs, at = inner[0].rstrip("/").lower(), inner[1] if len(inner) > 1 else "", stop + 1
         block = name not in INLINE
         if closing:
-            if name == "br" or name == "p" and not any(t == "p" for t, _ in open_):
+            if name == "br" or name == "p" and not where.get("p"):
                 parts.append(" ")
-                continue
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == name:
-                    if block:
-                        flush()
-                    close_to(k)
-                    break
+            elif k := last((name,)):
+                if block:
+                    flush()
+                close_to(k)
             continue
         if name in VOID:
             if block:
@@ -157,26 +179,15 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if block:
             flush()
-            if name in CLOSES:
-                own, stops = CLOSES[name]
-                for k in range(len(open_) - 1, -1, -1):
-                    if open_[k][0] in own:
-                        close_to(k)
-                        break
-                    if open_[k][0] in stops:
-                        break
-            else:
-                for k in range(len(open_) - 1, -1, -1):
-                    if open_[k][0] == "p":
-                        close_to(k)
-                        break
-                    if open_[k][0] in ("button", "td", "th", "object", "table"):
-                        break
-                if name == "body":
-                    close_to(next((k for k, (t, _) in enumerate(open_) if t == "head"), len(open_)))
+            own, stops = CLOSES.get(name, ({"p"}, {"button", "td", "th", "object", "table"}))
+            if (k := last(own)) > last(stops):
+                close_to(k)
+            if name == "body" and where.get("head"):
+                close_to(where["head"][0])
         if attrs.endswith("/") and name in ("svg", "math", "object", "iframe"):
             continue
-        open_.append((name, _kinds(attrs) if "=" in attrs else ()))
+        where.setdefault(name, []).append(len(open_))
+        open_.append(open_[-1].inner(name, _kinds(attrs) if "=" in attrs else ()))
         hidden += name in HIDDEN
         links += name == "a"
         if name in RAW:
@@ -196,14 +207,11 @@ def features(found: list[Block]) -> list[list[str]]:
     heads = {"h1", "h2", "h3", "h4", "h5", "h6"}
     before = ""
     for k, b in enumerate(found):
-        tag = b.tags[-1] if b.tags else "none"
+        tag, near, up, said = b.at.tag, b.at.near, b.at.up, b.at.said
         words = b.text.count(" ") + 1
         size = next(s for s, most in (("1", 2), ("3", 6), ("7", 14), ("15", 30), ("31", 80), ("81", 1 << 60)) if words <= most)
         link = "0" if not b.links else "some" if b.links < 0.5 else "most"
         stop = b.text[-1] in ".!?:;\"'”»…"
-        said = set(b.names)
-        near = b.names[-1] if b.names else "none"
-        up = {t for t in b.tags if t in _ANCESTORS}
         row = ["bias", f"tag={tag}", f"size={size}", f"link={link}", f"stop={stop}", f"near={near}", f"size+link={size}{link}", f"size+stop={size}{stop}", f"before={before}"]
         row += [f"in={t}" for t in up] + [f"name={x}" for x in said]
         if not up & {"nav", "header", "footer", "aside", "form", "button", "label", "select", "dialog", "menu"} and not said - {"main"}:
@@ -215,12 +223,16 @@ def features(found: list[Block]) -> list[list[str]]:
                 row.append("inside+plain")
         if tag in heads:
             row.append("head")
+            if "header" in up:
+                row.append(f"head+header={'inside' in row}")
         if k < 0.1 * n:
             row.append("early")
         if k >= 0.9 * n:
             row.append("late")
-        if "©" in b.text:
-            row.append("copyright")
+        if RIGHTS.search(b.text):
+            row += ["rights", f"rights+size={size}"]
+        if n == 1:
+            row.append("only")
         before = "head" if tag in heads else tag
         rows.append(row)
     return rows
@@ -333,7 +345,12 @@ def training_page(rng: random.Random) -> list[tuple[str, int]]:
 
     def head() -> None:
         tag("<header>")
-        lines(1, 3, 1, 8)
+        if rng.random() < 0.3:
+            name = rng.choice(["h1", "h1", "h2"])
+            tag(f"<{name}>")
+            say(words(1, 5), 0)
+            tag(f"</{name}>")
+        lines(0, 3, 1, 8)
         if rng.random() < 0.5:
             links(2, 6)
         tag("</header>")
@@ -362,9 +379,13 @@ def training_page(rng: random.Random) -> list[tuple[str, int]]:
 
         wrapped([("section", "comment"), ("div", "comment"), ("ul", "comment"), ("aside", "comment")], fill)
 
+    def rights() -> str:
+        year = f"{rng.randint(1990, 2030)} "
+        return rng.choice(["&copy; ", "© ", "(c) ", "Copyright ", "Copyright © "]) + year + words(1, 6) + rng.choice([". All rights reserved.", "", ". Alle Rechte vorbehalten.", " - Todos los derechos reservados", ". Tous droits réservés."])
+
     def footer() -> None:
         def fill() -> None:
-            say(rng.choice(["&copy; ", "© ", ""]) + sentence(2, 25), 0)
+            say(rights() if rng.random() < 0.5 else sentence(2, 25), 0)
             if rng.random() < 0.4:
                 links(2, 6)
 
@@ -384,7 +405,7 @@ def training_page(rng: random.Random) -> list[tuple[str, int]]:
             if r < 0.7:
                 name = rng.choice(plain)
                 tag(f"<{name}>" + rng.choice(["", "", "", "<b>", "<span>"]))
-                say(sentence(1, 120), 1)
+                say(sentence(40, 120) + " " + rng.choice(["Copyright", "All rights reserved", "copyright"]) + " " + sentence(10, 30) if rng.random() < 0.02 else sentence(1, 120), 1)
                 if rng.random() < 0.2:
                     tag('<a href="/y">')
                     say(words(1, 3), 1)
@@ -409,6 +430,15 @@ def training_page(rng: random.Random) -> list[tuple[str, int]]:
             else:
                 rng.choice([ad, share, side, notice, form])()
 
+    if rng.random() < 0.1:  # a text without layout
+        tag(rng.choice(["", "", "<html><body>", "<body>"]))
+        opens, ends = rng.choice([("", ""), ("", "\n"), ("", "<br>"), ("", "<br><br>"), ("", "<p>"), ("<p>", "</p>"), ("<p>", "</p>"), ("<div>", "</div>"), ("<b>", "</b>")])
+        for _ in range(rng.choice([1, 1, 2, 6])):
+            tag(opens)
+            say(words(1, 8) if rng.random() < 0.4 else sentence(1, 120), 1)
+            tag(ends)
+        return out
+
     tag("<html><head><title>x</title><style>p{}</style><script>var a='</p>';</script></head><body>")
     for part in (notice, head, nav, ad, side, form, lambda: links(2, 6)):
         if rng.random() < 0.4:
@@ -429,8 +459,13 @@ def training_page(rng: random.Random) -> list[tuple[str, int]]:
     for part in (ad, side, share, form, comments, notice, nav):
         if rng.random() < 0.3:
             part()
-    if rng.random() < 0.9:
+    if rng.random() < 0.85:
         footer()
+    elif rng.random() < 0.8:
+        name = rng.choice(["div", "p", "small", "center", "address"])
+        tag(f"<{name}>")
+        say(rights(), 0)
+        tag(f"</{name}>")
     tag("</body></html>")
     return out
 

@@ -51,8 +51,40 @@ def test_blocks_of_broken_markup():
     assert len(html.blocks("<div>" * 3000 + "x")) == 1 and len(html.blocks("<" * 20_000)) == 1
 
 
+def test_deep_pages_take_time_in_proportion(model):
+    """200,000 elements that are never closed, each with a text; formatting tags; quotes that never end."""
+    import time
+    import tracemalloc
+
+    for page, n in (("<div>x" * 200_000, 200_000), ("<font>" * 100_000 + "<div>x" * 100_000, 100_000), ("<p><b>y" * 100_000, 100_000), ('<a ">"x' * 50_000, 1), ("<li>x<p>" * 50_000 + "</ul>" * 50_000, 50_000)):
+        began = time.time()
+        found = html.blocks(page)
+        assert len(found) == n and time.time() - began < 20
+    tracemalloc.start()
+    text = html.main_text("<div>x" * 20_000, model)
+    assert set(text) <= {"x", " "} and tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+LAYOUTS = [  # written by hand, not by the generator: page, its main text
+    ("Only a plain text, with no markup at all.\n\nAnd a second line of it.", "Only a plain text, with no markup at all. And a second line of it."),
+    ("<p>Only one.</p>", "Only one."),
+    ("<h1>Title here</h1>First paragraph of the story, which is long enough to read.<br><br>Second paragraph of the story, just as long.", "Title here First paragraph of the story, which is long enough to read. Second paragraph of the story, just as long."),
+    ("<body><div><p>The story begins with this sentence. It goes on with another one.</p><p>It ends here, at last.</p></div><div>Copyright 2021 Some Company Inc. All rights reserved.</div></body>", "The story begins with this sentence. It goes on with another one. It ends here, at last."),
+    ("<nav><a href=/>Home</a> <a href=/a>About</a></nav><article><h2>News</h2><p>Something happened in the town today, people said.</p></article><div>© 2020 Town Paper</div>", "News Something happened in the town today, people said."),
+    ("<div class=cookie-banner>We use cookies. <button>OK</button></div><main><p>Ein Satz steht hier, und er ist lang genug.</p><aside>Related: other things</aside><p>Noch ein Satz.</p></main><footer>Impressum</footer>", "Ein Satz steht hier, und er ist lang genug. Noch ein Satz."),
+    ("<div id=content><p>One paragraph tells about copyright law and why it was made, at some length, so that nobody takes it for a notice at the foot of a page, which it is not.</p></div>", "One paragraph tells about copyright law and why it was made, at some length, so that nobody takes it for a notice at the foot of a page, which it is not."),
+    ('<header><h1>Site</h1></header><div class="post"><h1>Post</h1><p>Text of the post, in full sentences.</p></div><div class="comments"><div class="comment"><p>Great post, thanks for it!</p></div></div>', "Post Text of the post, in full sentences."),
+]
+
+
+@pytest.mark.parametrize("page, text", LAYOUTS)
+def test_layouts_from_outside_the_generator(model, page, text):
+    assert html.main_text(page, model) == text
+
+
 def test_edges(spark, model):
     rows = [(1, "u", None), (None, None, ""), (2, "u", "<p>" + "long text here. " * 20_000), (2, "u", "plain only")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = html.extract(df, model).collect()
-    assert len(got) == 4 and [r.text for r in got if r.page_id == 1] == [""] and html.extract(df.limit(0), model).count() == 0
+    assert len(got) == 4 and [r.text for r in got if r.page_id == 1] == [""] and "plain only" in {r.text for r in got} and html.extract(df.limit(0), model).count() == 0
