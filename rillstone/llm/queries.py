@@ -17,6 +17,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
         F.sha2(pii.joined(base), 256).alias("base_sha256"),
         pii.joined([*base, *pii.EXTRA]).alias("spans"),
+        pii.joined([*base, *pii.EXTRA], score=True).alias("scored"),
+        sum((F.size(k) for k in [*base, *pii.EXTRA]), F.lit(0)).cast("long").alias("n_found"),
     )
 
 

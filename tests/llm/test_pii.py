@@ -67,6 +67,27 @@ def test_validators_and_context(spark):
     assert got[0].iban[0].score == 0.95
 
 
+def test_account_numbers_by_length(spark):
+    """A valid number followed by short words, by another number, or cut off."""
+    good, de = "ES91 2100 0418 4502 0005 1332", "DE89370400440532013000"
+    texts = [f"{good} EUR", f"{good} ok", f"{good} PAID NOW1 AB12", f"{good} {de} X", f"{good}1", good[:-1], f"{de} BIC COBADEFF", "ZZ91 2100 0418 4502 0005 1332", f"x{de}"]
+    got = pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[t[s.start : s.end] for s in r.iban] for t, r in zip(texts, got, strict=True)] == [[good], [good], [good], [good, de], [], [], [de], [], []]
+
+
+def test_context_before_and_after(spark):
+    texts = ["SSN: 123-45-6789, 234-56-7890", "123-45-6789 is my social security number", "123-45-6789 " + "x" * 50 + " ssn", 'api_key = "9f8e7d6c5b4a39281706f5e4d3c2b1a0"', "sha 9f8e7d6c5b4a39281706f5e4d3c2b1a0", "token = aaaaaaaaaaaaaaaaaaaaaaaa1111"]
+    got = pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(len(r.ssn), len(r.secret)) for r in got] == [(2, 0), (1, 0), (0, 0), (0, 1), (0, 0), (0, 0)]
+    assert texts[3][got[3].secret[0].start : got[3].secret[0].end] == "9f8e7d6c5b4a39281706f5e4d3c2b1a0"
+
+
+def test_many_matches_in_one_text(monkeypatch, spark):
+    text = "a@b.cd é " * 100_000
+    r = run(monkeypatch, spark, spark.createDataFrame([(1, text)], "doc_id long, text string"))[0]
+    assert (r.n_email, r.n_found) == (100_000, 100_000) and r.base_sha256 == brute(text)[1] and r.scored.startswith("email:0:6:0.8,email:9:15:0.8")
+
+
 def test_edges_and_mask(monkeypatch, spark):
     assert len(run(monkeypatch, spark, edge(spark))) == 11 and run(monkeypatch, spark, empty(spark)) == []
     df = spark.createDataFrame([(1, "mail é a@b.cd or +49 30 1234567, x"), (2, None)], "doc_id long, text string")
