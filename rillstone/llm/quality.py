@@ -6,7 +6,9 @@ the least hash of their id. On it
 2. every term gets a sparse index vector of ``ones`` entries of +1 or -1, from a seeded generator, and a term's word vector
    is the sum of the index vectors within ``WINDOW`` places of it, over the sample, damped by log and normed; terms beyond
    the vocabulary share the vector of their shape (all capitals, capitalised, lower case, digits, sign);
-3. a document is the mean of its terms' vectors beside six measures of repetition and length;
+3. a document is the mean of its terms' vectors, beside the mean of the products of neighbouring terms' order vectors: dense
+   random index vectors of +1 and -1 (terms beyond the vocabulary share ``HASHED`` of them by their hash), so that repeated
+   terms pull every entry up and text that never repeats stays near zero; nothing but pooled vectors is seen;
 4. a network with one hidden layer is trained with numpy; on a fifth of the sample a temperature is chosen by likelihood,
    and the classes' shares in all learnable labels correct for the balanced sample.
 
@@ -20,6 +22,7 @@ repeat an id count once, as the larger; null ids are scored and told as held out
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,7 +38,7 @@ from rillstone.llm.store import bounded_batches, materialize
 TERM = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 SHAPES = ("<AA>", "<Aa>", "<aa>", "<0>", "<.>")
 WINDOW = 2
-MEASURES = 6
+HASHED = 4096
 CUT = 0.7
 
 
@@ -51,6 +54,7 @@ def _shape(term: str) -> int:
 class Model:
     index: dict[str, int] = field(default_factory=dict)  # term -> row of vectors; shapes are the last rows
     vectors: np.ndarray | None = None
+    orders: np.ndarray | None = None  # order vectors of the vocabulary, then of hashed terms
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
     weights: tuple[np.ndarray, ...] = ()
@@ -58,27 +62,28 @@ class Model:
     shift: float = 0.0
     share: float = 0.5
 
-    def rows(self, terms: list[str]) -> np.ndarray:
+    def rows(self, terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of vectors and of orders."""
         get, last = self.index.get, len(self.index)
-        return np.array([last + _shape(t) if (i := get(t)) is None else i for t in terms], np.int64)
+        rows = np.array([get(t, -1) for t in terms], np.int64)
+        hashed = rows.copy()
+        for k in np.flatnonzero(rows < 0).tolist():
+            t = terms[k]
+            rows[k] = last + _shape(t)
+            hashed[k] = last + zlib.crc32(t.encode("utf-8", "surrogatepass")) % HASHED
+        return rows, hashed
 
     def features(self, text: str | None) -> np.ndarray:
-        text = text or ""
-        dim = self.vectors.shape[1]
-        pooled, seen, triples, same, n, before = np.zeros(dim), set(), set(), 0, 0, []
-        held: list[str] = []
-        for held in _parts(text):
-            pooled += self.vectors[self.rows(held)].sum(axis=0)
-            seen.update(held)
-            run = before + held
-            triples.update(map(hash, zip(run, run[1:], run[2:])))
-            words = [t for t in held if t[0].isalpha()]
-            same += sum(map(str.__eq__, words[1:], words))
+        pooled, order, n = np.zeros(self.vectors.shape[1]), np.zeros(self.orders.shape[1]), 0
+        before = np.zeros(0, np.int64)
+        for held in _parts(text or ""):
+            rows, hashed = self.rows(held)
+            pooled += self.vectors[rows].sum(axis=0)
+            run = self.orders[np.concatenate([before, hashed])]
+            order += (run[1:] * run[:-1]).sum(axis=0, dtype=np.int64)
             n += len(held)
-            before = run[-2:]
-        lines = [x for x in text.split("\n") if x]
-        measures = [np.log1p(n), len(seen) / max(n, 1), 1 - len(triples) / max(n - 2, 1) if n > 2 else 0.0, same / max(n, 1), 1 - len(set(lines)) / max(len(lines), 1) if lines else 0.0, len(text) / max(n, 1)]
-        return np.concatenate([pooled / max(n, 1), measures])
+            before = hashed[-1:]
+        return np.concatenate([pooled / max(n, 1), order / max(n - 1, 1)])
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.weights
@@ -139,7 +144,7 @@ def _train(x: np.ndarray, y: np.ndarray, w: np.ndarray, hidden: int, seed: int,
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    per_class: int = 3000, vocabulary: int = 5000, dim: int = 48, ones: int = 4, hidden: int = 16, seed: int = 7,
+    per_class: int = 3000, vocabulary: int = 5000, dim: int = 48, ones: int = 4, order: int = 16, hidden: int = 16, seed: int = 7,
 ) -> Model:
     """A model from at most ``2 * per_class`` labelled documents for which ``learnable`` holds."""
     spark = docs.sparkSession
@@ -175,13 +180,14 @@ def fit(
     rng = np.random.default_rng(seed)
     places = np.argsort(rng.random((rows, dim)), axis=1)[:, :ones]
     signs = rng.choice([-1, 1], (rows, ones))
+    model.orders = rng.choice(np.array([-1, 1], np.int8), (len(model.index) + HASHED, order))
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(rows * dim, np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
                 for terms in _parts(t):
-                    ids = model.rows(terms)
+                    ids = model.rows(terms)[0]
                     for k in range(1, WINDOW + 1):
                         for here, there in ((ids[:-k], ids[k:]), (ids[k:], ids[:-k])):
                             for j in range(ones):

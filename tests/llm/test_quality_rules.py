@@ -10,12 +10,27 @@ from rillstone.llm import quality, queries, rules
 
 
 def test_held_out_accuracy(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     got = queries.op2_quality(spark, sf).collect()
     y = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
     held = [r for r in got if r.held_out and r.doc_id in y]
-    assert np.mean([r.predicted == y[r.doc_id] for r in held]) > 0.95
+    good, bad = ([r.score for r in held if y[r.doc_id] == q] for q in (1, 0))
+    auc = np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
+    accuracy = np.mean([r.predicted == y[r.doc_id] for r in held])
+    print(f"held out: {len(held)} documents, AUC {auc:.4f}, accuracy {accuracy:.4f}")
+    assert len(held) > 900 and auc > 0.99 and accuracy > 0.98
+
+
+def test_nothing_but_pooled_vectors(spark):
+    model = quality.fit(real(spark), labels(spark))
+    assert len(model.features("some text")) == model.vectors.shape[1] + model.orders.shape[1]
+    a, b = model.features("the of and in " * 40), model.features("the of and in ")
+    assert np.allclose(a[: model.vectors.shape[1]], b[: model.vectors.shape[1]])
+    width = model.vectors.shape[1]
+    assert model.features("qqq " * 50)[width:].min() == 1.0 and abs(model.features(" ".join(f"zz{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600)))[width:]).max() < 0.3
+    long = "zebra of " * 100_000
+    assert np.allclose(model.features(long)[width:], model.features("zebra of " * 500)[width:], atol=1e-2)
 
 
 def test_scores_depend_on_the_text_alone_and_repeat(spark):
