@@ -91,8 +91,8 @@ def first_of(*cs: Column) -> Column:
 
 
 def signature(*cs: Column) -> Column:
-    """A 64-bit hash of a record's fields, null-safe."""
-    return F.xxhash64(*[x for c in cs for x in (c, c.isNull())])
+    """The SHA-256 of a record's fields, null-safe and in order: two records with the same one are taken as equal."""
+    return F.sha2(F.to_json(F.array(*[c.cast("string") for c in cs])), 256)
 
 
 def share(part_: Column, whole: Column, digits: int = 2) -> Column:

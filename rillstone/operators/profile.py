@@ -104,7 +104,10 @@ def classify_outliers(flagged: DataFrame, ts: str, groups: Sequence[str], tie: S
     return flagged.withColumn("outlier_class", F.when(~F.col("is_outlier"), "normal").when(near, "event").otherwise("suspect"))
 
 
-def describe(df: DataFrame) -> DataFrame:
-    """The schema as rows: position, name, type."""
-    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)]
-    return df.sparkSession.createDataFrame(rows, "position int, name string, type string")
+def describe(df: DataFrame, filled: bool = False) -> DataFrame:
+    """The schema as rows: position, name, type; if asked, with the number of values that aren't null, from one scan."""
+    fields = list(df.schema)
+    if not filled:
+        return df.sparkSession.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)], "position int, name string, type string")
+    one = lambda i, f: F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"), F.count(F.col(f"`{f.name}`")).alias("filled"))
+    return df.agg(F.array(*[one(i, f) for i, f in enumerate(fields)]).alias("r")).select(F.explode("r").alias("r")).select("r.*")

@@ -62,6 +62,14 @@ def on_day(df: DataFrame, ts: str, day: Column) -> DataFrame:
     return df.filter((F.col(ts) >= start) & (F.col(ts) < start + F.expr("interval 1 day")))
 
 
+def between_days(df: DataFrame, ts: str, first, last) -> DataFrame:
+    """Rows of the whole days from that of first to that of last (times); none if these are null."""
+    if first is None:
+        return df.limit(0)
+    day = lambda x: F.to_date(F.lit(x)).cast("timestamp")
+    return df.filter((F.col(ts) >= day(first)) & (F.col(ts) < day(last) + F.expr("interval 1 day")))
+
+
 def since_year(df: DataFrame, ts: str, year: int) -> DataFrame:
     return df.filter(F.col(ts) >= F.make_date(F.lit(year), F.lit(1), F.lit(1)).cast("timestamp"))
 

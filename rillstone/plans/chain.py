@@ -1,7 +1,10 @@
 """The whole chain over a feed of readings: layers -> bronze -> silver -> dimensions -> fact.
 
 Every step is an insert-only merge on its key, so running the chain again with the same or overlapping files changes
-nothing. A day enters the fact table once it is loaded; feeds deliver whole days.
+nothing. Readings without an id are put aside in bronze, those that fail a check in silver. A run reads of its tables only
+what its feed reaches: bronze by the range of ids, silver by the range of days, the targets by the range of their keys. It
+works from the tables, not from what a step has just added, so a run that broke off is made up for by running it again. A day
+enters the fact table once it is loaded; feeds deliver whole days.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rillstone.functions import scalars as S
 from rillstone.operators import dedupe, series, shape, star
+from rillstone.shared import Scratch
 from rillstone.sources import sinks
 
 #: Which sensor stands for which measure.
@@ -22,19 +26,26 @@ def run(spark: SparkSession, feed: DataFrame, prefix: str = "", highest: float =
     layers = dict(zip(sinks.LAYERS, sinks.create_layers(spark, prefix), strict=True))
     bronze, silver, gold = layers["bronze"], layers["silver"], layers["gold"]
 
-    sinks.merge_insert(feed.select("event_id", "station", "sensor", "ts", "value"), f"{bronze}.reading", ["event_id"])
+    step = Scratch(spark)
+    feed = step.write(feed.select("event_id", "station", "sensor", "ts", "value"), "feed")
+    sinks.merge_insert(feed, f"{bronze}.reading", ["event_id"], prune="event_id", aside=f"{bronze}.quarantine")
 
-    typed = spark.table(f"{bronze}.reading").withColumn("ts", S.to_ts(F.col("ts")))
-    checks = {"no_station": F.col("station").isNotNull(), "bad_ts": F.col("ts").isNotNull(), "bad_value": F.col("value").isNotNull(), "out_of_bounds": F.col("value") <= highest}
+    landed = sinks.within(spark.table(f"{bronze}.reading"), feed, "event_id").join(feed.select("event_id").distinct(), "event_id", "left_semi")
+    typed = step.write(landed.withColumn("ts", S.to_ts(F.col("ts"))), "typed")
+    checks = {"no_station": F.col("station").isNotNull(), "no_sensor": F.col("sensor").isNotNull(), "bad_ts": F.col("ts").isNotNull(), "bad_value": F.col("value").isNotNull(), "out_of_bounds": F.col("value") <= highest}
     valid, aside = shape.split_valid(typed, checks)
     sinks.merge_insert(dedupe.first_by(valid, ["station", "sensor", "ts"], [F.desc("event_id")]), f"{silver}.reading", ["station", "sensor", "ts"], prune="ts")
-    sinks.merge_insert(aside, f"{silver}.quarantine", ["event_id"])
+    sinks.merge_insert(aside, f"{silver}.quarantine", ["event_id"], prune="event_id")
 
-    reading = spark.table(f"{silver}.reading")
+    first, last = valid.agg(F.min("ts"), F.max("ts")).first()
+    reading = shape.between_days(spark.table(f"{silver}.reading"), "ts", first, last)
     sinks.merge_insert(star.dimension(reading, ["station"], key="location_key"), f"{gold}.dim_location", ["location_key"])
     sinks.merge_insert(star.dimension(reading, ["sensor"], key="source_key"), f"{gold}.dim_source", ["source_key"])
     daily = series.daily(reading, "ts", "value", ["station", "sensor"])
-    sinks.merge_insert(star.dim_time(daily), f"{gold}.dim_time", ["time_key"])
+    dates = daily.select("date")
+    if spark.catalog.tableExists(f"{gold}.dim_time"):  # the calendar has no gaps between feeds
+        dates = dates.unionByName(spark.table(f"{gold}.dim_time").agg(F.array(F.min("date"), F.max("date")).alias("d")).select(F.explode("d").alias("date")))
+    sinks.merge_insert(star.dim_time(dates), f"{gold}.dim_time", ["time_key"])
 
     def of(name: str, column: str, scale: float = 1.0) -> DataFrame:
         return daily.filter(F.col("sensor") == measures[name]).select("station", "date", (F.col(column) * scale).alias(name))
@@ -42,4 +53,5 @@ def run(spark: SparkSession, feed: DataFrame, prefix: str = "", highest: float =
     fact = star.fact_daily(of("level", "mean", level_scale), [of("flow", "mean"), of("rain", "sum"), of("temp", "mean")], ["station", "date"])
     keyed = star.with_keys(fact, [(spark.table(f"{gold}.dim_location"), ["station"], "location_key"), (spark.table(f"{gold}.dim_time").select("date", "time_key"), ["date"], "time_key")])
     sinks.merge_insert(keyed.select("location_key", "time_key", "level", "flow", "rain", "temp"), f"{gold}.fact_daily_level", ["location_key", "time_key"], prune="time_key")
+    step.clear()
     return layers

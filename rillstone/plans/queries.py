@@ -10,6 +10,7 @@ import io
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +27,7 @@ from rillstone.streaming import incremental
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-EXACT = 1_000_000  # percentile_approx at this accuracy gives a value of the data at the exact rank
+EXACT = 1_000_000  # percentile_approx gives a value of the data; its rank is exact up to about so many rows a group, beyond that off by at most one in so many
 
 
 def query(sql: str | None = None):
@@ -269,6 +270,14 @@ def _names(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex[:12]}"
 
 
+def _then_drop(df: DataFrame, *layers: str) -> DataFrame:
+    """df, written; the databases it was read from are dropped."""
+    kept = materialize(df, "result")
+    for layer in layers:
+        df.sparkSession.sql(f"DROP DATABASE IF EXISTS {layer} CASCADE")
+    return kept
+
+
 @query(f"select * from {_MERGED}")
 def merge_twice(spark, d):
     target, source = _halves(spark, d)
@@ -278,7 +287,7 @@ def merge_twice(spark, d):
     sinks.append(target, name)
     for _ in range(2):
         sinks.merge_insert(source, name, ["o_orderkey"])
-    return _price(spark.table(name))
+    return _then_drop(_price(spark.table(name)), layer)
 
 
 _OLD = f"(select *, ts::date as date from {E} where hour(ts) < 12 or day(ts) % 2 = 0)"
@@ -394,9 +403,8 @@ def _tokens(e: DataFrame) -> DataFrame:
 
 
 _SLOTS = {"temp": (4, 10.0), "dewp": (5, 10.0), "altim": (6, 10.0), "wdir": (7, None), "wspd": (8, 10.0)}
-_ISD = """select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as ts, case when event_id % 7 <> 0 then round(round_even(value * 10, 0) / 10, 4) end as temp, null::double as dewp,
+_ISD = """select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as ts, case when event_id % 7 <> 0 then round(round(value * 10) / 10, 4) end as temp, null::double as dewp,
   1013.2::double as altim, (event_id % 360)::double as wdir, round(user_id / 10.0::double, 4) as wspd from events where event_id % 10 <> 0"""
-_ISD = _ISD.replace("round_even(value * 10, 0)", "round(value * 10)")
 
 
 def _weather(df: DataFrame) -> DataFrame:
@@ -600,20 +608,51 @@ def fact_daily(spark, d):
     return told.select("station", "time_key", "nation", F.round("level_mean", 6).alias("level_mean"), F.round("level_max", 2).alias("level_max"), "n", F.round("flow", 2).alias("flow"), F.round("rain", 2).alias("rain"))
 
 
+_KEYLESS = f"(select case when event_id % 97 <> 0 then event_id end as event_id, station, case when event_id % 89 <> 0 then sensor end as sensor, ts, value from {E})"
+
+
+def _keyless(spark, d) -> DataFrame:
+    """The landed feed with parts of keys missing by rule."""
+    k = F.col("event_id")
+    return landed(spark, d).withColumn("sensor", F.when(k % 89 != 0, F.col("sensor"))).withColumn("event_id", F.when(k % 97 != 0, k))
+
+
 @query(
-    f"""with d as (select station, sensor, ts::date as date, avg(value) as mean, sum(value) as total from {E} where value <= 300 group by 1, 2, 3),
+    f"""with d as (select station, sensor, ts::date as date, avg(value) as mean, sum(value) as total from {_KEYLESS} where value <= 300 and event_id is not null and sensor is not null group by 1, 2, 3),
     p as (select station, date, max(mean) filter (where sensor = 'view') as level, max(mean) filter (where sensor = 'signup') as flow, max(total) filter (where sensor = 'purchase') as rain,
       max(mean) filter (where sensor = 'click') as temp from d group by 1, 2)
     select station, strftime(date, '%Y%m%d')::int as time_key, round(level * 0.01, 6) as level, round(flow, 6) as flow, round(rain, 6) as rain, round(temp, 6) as temp from p where level is not null"""
 )
 def medallion_chain(spark, d):
-    """The chain from landed text to the fact table, run twice: the second run changes nothing."""
+    """The chain from landed text to the fact table, run twice: the second run changes nothing. Some readings lack parts of their key."""
     prefix = _names("c") + "_"
     for _ in range(2):
-        layers = chain.run(spark, landed(spark, d), prefix)
+        layers = chain.run(spark, _keyless(spark, d), prefix)
     fact = spark.table(f"{layers['gold']}.fact_daily_level")
     where = spark.table(f"{layers['gold']}.dim_location")
-    return fact.join(where, "location_key").select("station", "time_key", *[F.round(c, 6).alias(c) for c in ("level", "flow", "rain", "temp")])
+    told = fact.join(where, "location_key").select("station", "time_key", *[F.round(c, 6).alias(c) for c in ("level", "flow", "rain", "temp")])
+    return _then_drop(told, *layers.values())
+
+
+@query(
+    f"""with k as (select *, case when sensor is null then 'no_sensor' when value > 300 then 'out_of_bounds' end as reason from {_KEYLESS} where event_id is not null)
+    select 'bronze.reading' as name, null as reason, count(*) as n from k
+    union all select 'bronze.quarantine', 'null_key', count(*) from (select distinct station, sensor, ts, value from {_KEYLESS} where event_id is null)
+    union all select 'silver.reading', null, count(*) from (select distinct station, sensor, ts from k where reason is null)
+    union all select 'silver.quarantine', reason, count(*) from k where reason is not null group by reason"""
+)
+def chain_rows(spark, d):
+    """Where the rows of the feed are after the chain has run over its halves and then over all of it."""
+    prefix = _names("c") + "_"
+    feed = _keyless(spark, d)
+    for part in (feed.filter(F.dayofmonth("ts") <= 15), feed.filter(F.dayofmonth("ts") > 15), feed):
+        layers = chain.run(spark, part, prefix)
+    reason = {"quarantine": F.col("reason"), "reading": F.lit(None).cast("string")}
+    counts = [
+        spark.table(f"{layers[layer]}.{name}").groupBy(F.lit(f"{layer}.{name}").alias("name"), reason[name].alias("reason")).agg(F.count("*").alias("n"))
+        for layer in ("bronze", "silver") for name in ("reading", "quarantine")
+    ]
+    return _then_drop(reduce(DataFrame.unionByName, counts), *layers.values())
 
 
 # --- lagged relations ------------------------------------------------------------------------------------------------
@@ -656,14 +695,38 @@ def _lags(spark, d) -> DataFrame:
     return materialize(series.lagged(f, ["station"], "date", "level", [1, 2]), "lags")
 
 
-@query()
+_LAGGED = f"(select station, level, lag(temp, 1) over w as t1, lag(temp, 2) over w as t2, lag(level, 1) over w as l1, lag(level, 2) over w as l2 from {_DENSE2} window w as (partition by station order by date))"
+
+
+def _two(y: str, a: str, b: str, tag: str) -> str:
+    """SQL of the least squares of y on a and b, by covariances: intercept, slopes, explained variance."""
+    det = f"(var_pop({a}) * var_pop({b}) - covar_pop({a}, {b}) * covar_pop({a}, {b}))"
+    sa = f"((covar_pop({y}, {a}) * var_pop({b}) - covar_pop({y}, {b}) * covar_pop({a}, {b})) / {det})"
+    sb = f"((covar_pop({y}, {b}) * var_pop({a}) - covar_pop({y}, {a}) * covar_pop({a}, {b})) / {det})"
+    return f"avg({y}) - {sa} * avg({a}) - {sb} * avg({b}) as c{tag}, {sa} as a{tag}, {sb} as b{tag}, {sa} * covar_pop({y}, {a}) + {sb} * covar_pop({y}, {b}) as e{tag}"
+
+
+@query(
+    f"""with m as (select {_two("level", "t1", "t2", "")}, var_pop(level) as v, count(*) as n from {_LAGGED} where level is not null and t1 is not null and t2 is not null),
+    t as (select 'intercept' as term, c as coefficient, * from m union all select 'temp_lag1', a, * from m union all select 'temp_lag2', b, * from m)
+    select term, round(coefficient, 6) as coefficient, round(e / v, 6) as r2, n from t"""
+)
 def lag_model(spark, d):
-    return analysis.lag_model(_lags(spark, d), ["temp_lag1", "temp_lag2"], "level")
+    m = analysis.lag_model(_lags(spark, d), ["temp_lag1", "temp_lag2"], "level")
+    return m.select("term", F.round("coefficient", 6).alias("coefficient"), F.round("r2", 6).alias("r2"), "n")
 
 
-@query()
+@query(
+    f"""with r as (select level as y, l1, l2, t1, t2 from {_LAGGED} where level + l1 + l2 + t1 + t2 is not null),
+    c as (select {_two("y", "l1", "l2", "o")}, {_two("t1", "l1", "l2", "u")}, {_two("t2", "l1", "l2", "v")} from r),
+    x as (select y - co - ao * l1 - bo * l2 as y, t1 - cu - au * l1 - bu * l2 as u, t2 - cv - av * l1 - bv * l2 as v from r, c),
+    m as (select avg(y * y) as own, {_two("y", "u", "v", "")}, count(*) as n from x)
+    select round((e / 2) / ((own - e) / (n - 5)), 4) as f, 2 as df1, (n - 5)::int as df2, round(own, 6) as mse_own, round(own - e, 6) as mse_full, n from m"""
+)
 def causality(spark, d):
-    return analysis.causality(_lags(spark, d), ["level_lag1", "level_lag2"], ["temp_lag1", "temp_lag2"], "level")
+    """The SQL takes the own lags out of all other columns first, which leaves the same sums of squares."""
+    c = analysis.causality(_lags(spark, d), ["level_lag1", "level_lag2"], ["temp_lag1", "temp_lag2"], "level")
+    return c.select(F.round("f", 4).alias("f"), "df1", "df2", *[F.round(F.col(f"ssr_{k}") / F.col("n"), 6).alias(f"mse_{k}") for k in ("own", "full")], "n")
 
 
 # --- files -----------------------------------------------------------------------------------------------------------
@@ -734,9 +797,8 @@ def roundtrip_csv_comment(spark, d):
     return _typed(readers.csv(spark, path, _TEXT, comment="#", header=False))
 
 
-@query(_SAME)
-def roundtrip_zip(spark, d):
-    """A zip per thousand readings: a preamble, a header, latin-1 lines; kept as rows (path, content), as archives are read."""
+def _unzipped(spark, d) -> DataFrame:
+    """A zip file per thousand readings: a preamble, a header, latin-1 lines; every fourth is cut off."""
     e = landed(spark, d)
     line = F.concat_ws(";", *[F.col(c).cast("string") for c in e.columns])
     texts = e.groupBy(F.floor(F.col("event_id") / 1000).cast("string").alias("path")).agg(F.concat_ws("\n", F.collect_list(line)).alias("body"))
@@ -753,8 +815,22 @@ def roundtrip_zip(spark, d):
                 out.append(buffer.getvalue())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["path", "content"])
 
-    files = materialize(texts.mapInArrow(zipped, "path string, content binary"), "zips", "none")
-    return _typed(readers.after_header(readers.unzip_lines(files), "event_id", e.columns))
+    path = new_path(spark, "zips")
+    # a file an archive; the text sink writes the bytes as they are and ends a file with a line feed, which readers of archives skip
+    content = F.when(F.col("path") % 4 == 3, F.substring("content", 1, 100)).otherwise(F.col("content"))
+    texts.mapInArrow(zipped, "path string, content binary").select(content.cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return readers.unzip_lines(readers.archives(spark, path, "*.txt"))
+
+
+@query(_SAME + " where event_id // 1000 % 4 <> 3")
+def roundtrip_zip(spark, d):
+    return _typed(readers.after_header(_unzipped(spark, d), "event_id", landed(spark, d).columns))
+
+
+@query(f"select reason, count(*) as n from (select distinct event_id // 1000, 'no archive' as reason from {E} where event_id // 1000 % 4 = 3) group by 1")
+def zip_faults(spark, d):
+    """Archives that can't be read, counted by reason."""
+    return _unzipped(spark, d).filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query(_ISD)
@@ -780,7 +856,7 @@ def roundtrip_table(spark, d):
     name = f"{_layer(spark)}.events"
     sinks.create_empty(spark, name, landed(spark, d).schema)
     sinks.append(landed(spark, d), name)
-    return spark.table(name)
+    return _then_drop(spark.table(name), name.split(".")[0])
 
 
 @query(f"select sensor, count(*) as n from {E} where sensor not in ('click', 'view') group by 1")
@@ -805,13 +881,19 @@ def roundtrip_stations(spark, d):
 # --- tables ----------------------------------------------------------------------------------------------------------
 
 
-@query("select position::int as position, name, type from (values (0, 'event_id', 'bigint'), (1, 'station', 'bigint'), (2, 'sensor', 'string'), (3, 'ts', 'string'), (4, 'value', 'double')) v(position, name, type)")
+@query(
+    f"""select position::int as position, name, type, filled from (select 0 as position, 'event_id' as name, 'bigint' as type, count(event_id) as filled from {_KEYLESS}
+    union all select 1, 'station', 'bigint', count(station) from {_KEYLESS} union all select 2, 'sensor', 'string', count(sensor) from {_KEYLESS}
+    union all select 3, 'ts', 'string', count(ts) from {_KEYLESS} union all select 4, 'value', 'double', count(value) from {_KEYLESS})"""
+)
 def sink_schema_init(spark, d):
-    """An empty table with the schema of a query over the feed; running it twice changes nothing."""
+    """A table made empty with the schema of a query over the feed, twice, which changes nothing; then filled and described."""
     name = f"{_layer(spark)}.events"
+    feed = _keyless(spark, d)
     for _ in range(2):
-        sinks.create_empty(spark, name, landed(spark, d).schema)
-    return profile.describe(spark.table(name))
+        sinks.create_empty(spark, name, feed.schema)
+    sinks.append(feed, name)
+    return _then_drop(profile.describe(spark.table(name), filled=True), name.split(".")[0])
 
 
 @query(f"select event_id, count(*) as n from (select * from {E} union all select * from {E}) group by 1")
@@ -819,7 +901,7 @@ def sink_append(spark, d):
     name = f"{_layer(spark)}.events"
     for _ in range(2):
         sinks.append(landed(spark, d), name)
-    return spark.table(name).groupBy("event_id").agg(F.count("*").alias("n"))
+    return _then_drop(spark.table(name).groupBy("event_id").agg(F.count("*").alias("n")), name.split(".")[0])
 
 
 @query(f"select event_id, station from {E} where value >= 50")
@@ -827,7 +909,7 @@ def sink_overwrite(spark, d):
     name = f"{_layer(spark)}.events"
     sinks.append(landed(spark, d), name)
     sinks.replace(spark.table(name).filter("value >= 50"), name)
-    return spark.table(name).select("event_id", "station")
+    return _then_drop(spark.table(name).select("event_id", "station"), name.split(".")[0])
 
 
 @query(f"select strftime(ts::date, {DAY}) as date, count(*) as n, round(sum(value), 4) as total from {E} group by 1")
@@ -850,21 +932,32 @@ def sink_fuller_days(spark, d):
     return spark.read.schema("event_id long, date string").parquet(path).groupBy("date").agg(F.count("*").alias("n"))
 
 
-@query("select position::int as position, name, type from (values (0, 'station', 'bigint'), (1, 'first_ts', 'timestamp'), (2, 'last_ts', 'timestamp'), (3, 'n', 'bigint')) v(position, name, type)")
+@query(
+    """select position::int as position, name, type, filled from (select 0 as position, 'event_id' as name, 'bigint' as type, count(event_id) as filled from events union all select 1, 'station', 'bigint', count(user_id) from events
+    union all select 2, 'sensor', 'string', count(event_type) from events union all select 3, 'ts', 'timestamp', count(ts) from events union all select 4, 'value', 'double', count(value) from events
+    union all select 5, 'level', 'double', count(value) filter (where event_type = 'view') from events)"""
+)
 def describe_schema(spark, d):
-    return profile.describe(profile.coverage(events(spark, d), "ts", ["station"]))
+    """The columns of a table with how many of their values are there."""
+    return profile.describe(events(spark, d).withColumn("level", F.when(F.col("sensor") == "view", F.col("value"))), filled=True)
 
 
 # --- streaming -------------------------------------------------------------------------------------------------------
 
 
-@query(_SAME)
+@query(
+    f"""select event_id, station, sensor, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as ts, value, null as reason from {_KEYLESS} where event_id is not null
+    union all select distinct event_id, station, sensor, strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), value, 'null_key' from {_KEYLESS} where event_id is null"""
+)
 def stream_load(spark, d):
-    """The feed arrives in two parts that overlap; after each, new files are merged; a third run finds nothing new."""
-    folder, checkpoint, name = new_path(spark, "inbox"), new_path(spark, "checkpoint"), f"{_layer(spark)}.events"
-    e = landed(spark, d)
+    """The feed arrives in two parts that overlap; after each, new files are merged; a third run finds nothing new. Readings
+    without an id are put aside."""
+    folder, checkpoint, layer = new_path(spark, "inbox"), new_path(spark, "checkpoint"), _layer(spark)
+    name, aside = f"{layer}.events", f"{layer}.quarantine"
+    e = _keyless(spark, d)
     for part in (e.filter("value < 60"), e.filter("value > 40"), None):
         if part is not None:
             sinks.json_lines(part, folder, "append")
-        incremental.load_new_files(spark, folder, schemas.EVENT, name, ["event_id"], checkpoint)
-    return spark.table(name)
+        incremental.load_new_files(spark, folder, schemas.EVENT, name, ["event_id"], checkpoint, prune="event_id", aside=aside)
+    loaded = spark.table(name).withColumn("reason", F.lit(None).cast("string"))
+    return _then_drop(loaded.unionByName(spark.table(aside).drop("row_hash")), layer)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -48,14 +49,15 @@ def over_path(spark: SparkSession, fmt: str, path: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM {fmt}.`{path}`")
 
 
-def archives(spark: SparkSession, path: str) -> DataFrame:
+def archives(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
     """Zip files as rows (path, content), found at any depth."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
 
 
 def unzip_lines(files: DataFrame, suffix: str = ".csv", encoding: str = "latin-1") -> DataFrame:
-    """(path, content) -> path, member, n, line of every member with the suffix; a broken archive gives no lines. Lines are
-    streamed out of a member in batches; this is the one step that needs Python."""
+    """(path, content) -> path, member, n, line, reason of every member with the suffix. Lines are streamed out of a member
+    in batches; this is the one step that needs Python. A file that is no archive gives one row with a reason, and so does a
+    member that can't be read to its end, after the lines found in it; neither stops the job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -63,33 +65,38 @@ def unzip_lines(files: DataFrame, suffix: str = ".csv", encoding: str = "latin-1
                 try:
                     z = zipfile.ZipFile(io.BytesIO(content.as_py() or b""))
                 except zipfile.BadZipFile:
+                    yield _batch([(path, None, None, None, "no archive")])
                     continue
                 for name in sorted(x for x in z.namelist() if x.lower().endswith(suffix)):
-                    held: list[tuple[str, str, int, str]] = []
-                    with z.open(name) as f:
-                        for n, line in enumerate(io.TextIOWrapper(f, encoding)):
-                            held.append((path, name, n, line.rstrip("\r\n")))
-                            if len(held) == 10_000:
-                                yield _batch(held)
-                                held = []
+                    held: list[tuple] = []
+                    try:
+                        with z.open(name) as f:
+                            for n, line in enumerate(io.TextIOWrapper(f, encoding)):
+                                held.append((path, name, n, line.rstrip("\r\n"), None))
+                                if len(held) == 10_000:
+                                    yield _batch(held)
+                                    held = []
+                    except (zipfile.BadZipFile, zlib.error, EOFError, UnicodeDecodeError, NotImplementedError, RuntimeError) as e:  # damaged, packed in an unknown way, or locked
+                        held.append((path, name, None, None, f"unreadable: {type(e).__name__}"))
                     yield _batch(held)
 
-    return files.select("path", "content").mapInArrow(run, "path string, member string, n long, line string")
+    return files.select("path", "content").mapInArrow(run, "path string, member string, n long, line string, reason string")
 
 
 def _batch(rows: list) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.string()]
-    columns = zip(*rows) if rows else [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["path", "member", "n", "line"])
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+    columns = zip(*rows) if rows else [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["path", "member", "n", "line", "reason"])
 
 
 def after_header(lines: DataFrame, starts: str, columns: Sequence[str], sep: str = ";") -> DataFrame:
     """The lines below a member's header (its first line that starts so), as text columns found by the header's names.
-    Members without a header give nothing, columns that it lacks are null."""
+    Members without a header, or with a reason not to trust them, give nothing; columns that a header lacks are null."""
     heads = (
-        lines.filter(F.col("line").startswith(starts))
+        lines.filter(F.col("line").startswith(starts) | F.col("reason").isNotNull())
         .groupBy("path", "member")
-        .agg(F.min(F.struct("n", "line")).alias("h"))
+        .agg(F.min(F.when(F.col("reason").isNull(), F.struct("n", "line"))).alias("h"), F.max("reason").alias("reason"))
+        .filter("reason is null and h is not null")
         .select("path", "member", F.col("h.n").alias("h_n"), F.split("h.line", sep).alias("names"))
     )
     rows = lines.join(heads, ["path", "member"]).filter("n > h_n and trim(line) <> ''").withColumn("cells", F.split("line", sep, -1))

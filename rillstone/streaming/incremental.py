@@ -15,12 +15,14 @@ from rillstone.sources import sinks
 
 
 def load_new_files(
-    spark: SparkSession, folder: str, schema: T.StructType, name: str, keys: Sequence[str], checkpoint: str, typed: Callable[[DataFrame], DataFrame] = lambda df: df, files_a_batch: int = 1000
-) -> None:
-    """Reads JSON lines that arrived since the last call and merges them into a table; returns when all are in."""
+    spark: SparkSession, folder: str, schema: T.StructType, name: str, keys: Sequence[str], checkpoint: str, typed: Callable[[DataFrame], DataFrame] = lambda df: df,
+    files_a_batch: int = 1000, prune: str | None = None, aside: str | None = None,
+) -> None:
+    """Reads JSON lines that arrived since the last call and merges them into a table; returns when all are in. ``prune`` and
+    ``aside`` are those of the merge: a batch reads only its own range of the table, rows with a null key are put aside."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        sinks.merge_insert(typed(batch), name, keys)
+        sinks.merge_insert(typed(batch), name, keys, prune, aside)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).json(folder)
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
