@@ -18,11 +18,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillstone.llm.store import WORDS, materialize
+from rillstone.llm.store import WORDS, Scratch, join_split, materialize
 
-#: A rates table up to so many rows is broadcast; a larger one is joined by a shuffle on (source, salt).
-BROADCAST_SOURCES = 2000
-SALTS = 64
+#: A rates table up to so many rows is broadcast; of a larger one the hot sources are, the others are joined by a shuffle.
+BROADCAST_SOURCES = 20_000
 
 
 def size_of(text: Column) -> Column:
@@ -35,40 +34,44 @@ def uniform(seed: str, key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key)), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
+def _ranked(sources: DataFrame, tables: Scratch) -> DataFrame:
+    """sources with rank, from 0 by code point, null last: ranges of sources are ranked by themselves, and the sizes of the
+    ranges before are added. No task gets more than a range."""
+    order = F.col("source").asc_nulls_last()
+    parts = max(1, int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = tables.write(sources.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy("part").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    within = Window.partitionBy("part").orderBy(order)
+    return dealt.join(F.broadcast(bases.select("part", "base")), "part").withColumn("rank", F.col("base") + F.row_number().over(within) - 1).drop("part", "base")  # a row a range
+
+
 def source_rates(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: float = 1.5, most: float = 2.0) -> DataFrame:
-    """source, source_size, target, rate, from rows of (source, size).
+    """source, rows, source_size, target, rate, from rows of (source, size); written.
 
-    Water filling in closed form: with sources ordered by cap / weight, those before the first that its
-    fair share of the rest does not lift above its cap are capped, the others share the rest by weight.
+    Water filling: shares by weight; sources whose share is above their cap get the cap, and what they leave is shared again
+    among the others until none is above. A round is one aggregation over the sources; its two sums alone reach the driver.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    n = len(weights)
-    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), ((F.row_number().over(order) - 1) % n + 1).cast("int"))
-    every = Window.partitionBy()
-    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    t = (
-        sizes.groupBy("source")
-        .agg(F.sum("size").alias("source_size"))
-        .withColumn("weight", weight)
-        .withColumn("cap", F.col("source_size") * F.lit(float(most)))
-        .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("budget", F.sum("source_size").over(every) * F.lit(float(budget)))
-        .withColumn("all_weight", F.sum("weight").over(every))
-        .withColumn("cap_here", F.sum("cap").over(by_ratio))
-        .withColumn("weight_here", F.sum("weight").over(by_ratio))
-        .withColumn("rest", F.col("budget") - (F.col("cap_here") - F.col("cap")))
-        .withColumn("rest_weight", F.col("all_weight") - (F.col("weight_here") - F.col("weight")))
-        .withColumn("open", F.col("rest") * F.col("weight") <= F.col("cap") * F.col("rest_weight"))
-    )
-    first = F.min(F.when(F.col("open"), F.struct("ratio", "source", "rest", "rest_weight"))).over(every)
-    t = t.withColumn("first", first).withColumn("share", F.col("first.rest") / F.col("first.rest_weight") * F.col("weight"))
-    target = F.when(F.col("first").isNull() | (F.col("share") > F.col("cap")), F.col("cap")).otherwise(F.col("share"))
-    return t.withColumn("target", target).select(
-        "source",
-        "source_size",
-        "target",
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"),
-    )
+    tables = Scratch(sizes.sparkSession)
+    sums = tables.write(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "sources")
+    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    t = _ranked(sums, tables).withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    t = tables.write(t, "weighed")
+    total, rest_weight = t.agg(F.sum("source_size"), F.sum("weight")).first()
+    all_, rest = (total or 0) * float(budget), (total or 0) * float(budget)
+    while rest_weight:
+        over = F.lit(rest) * F.col("weight") > F.col("cap") * F.lit(rest_weight)
+        capped, left = t.agg(F.sum(F.when(over, F.col("cap")).otherwise(0.0)), F.sum(F.when(over, 0).otherwise(F.col("weight")))).first()
+        if left == rest_weight:
+            break
+        rest, rest_weight = all_ - capped, left
+    target = F.col("cap")
+    if rest_weight:
+        target = F.when(F.lit(rest) * F.col("weight") > F.col("cap") * F.lit(rest_weight), F.col("cap")).otherwise(F.lit(rest / rest_weight) * F.col("weight"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rates = materialize(t.withColumn("target", target).select("source", "rows", "source_size", "target", rate.alias("rate")), "rates")
+    tables.clear()
+    return rates
 
 
 def mix_plan(
@@ -94,14 +97,14 @@ def mix_plan(
     )
     if not carry:
         plain = materialize(plain, "sizes")
-    rates = materialize(source_rates(plain.select("source", "size"), weights, budget, most), "rates")
+    rates = source_rates(plain.select("source", "size"), weights, budget, most)
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias("name")
+    rates = rates.select(name("source"), "rows", "source_size", "target", "rate")
+    plain = plain.withColumn("name", name("source"))
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        met = plain.join(F.broadcast(rates.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), "left")
+        met = plain.join(F.broadcast(rates), "name")
     else:
-        rates = rates.withColumnRenamed("source", "s").withColumn("salt_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = plain.withColumn("salt", (F.col("u") * SALTS).cast("int")).join(
-            rates, F.col("source").eqNullSafe(F.col("s")) & (F.col("salt") == F.col("salt_s")), "left"
-        )
+        met = join_split(plain, rates, "name")
     whole = F.floor("rate")
     return met.withColumn("copies", whole + F.when(F.col("u") < F.col("rate") - whole, 1).otherwise(0)).select(
         "doc_id", "source", "size", "source_size", "target", "copies", *(["row"] if carry else [])

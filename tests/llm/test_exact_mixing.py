@@ -1,7 +1,9 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
-from helpers import edge, empty, real
+import numpy as np
+from helpers import edge, empty
 from pyspark.sql import functions as F
 
 from rillstone.llm import exact, mixing
@@ -61,6 +63,35 @@ def test_targets_by_repeated_sharing(spark):
         assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
 
 
+def test_many_sources(spark):
+    """100,000 sources, ranked and filled without a window over all of them."""
+    rng = random.Random(6)
+    sizes = {f"host{k}.example": int(rng.paretovariate(0.7)) for k in range(100_000)} | {None: 12_345}
+    schema = "source string, size long"
+    got = {r.source: r.target for r in mixing.source_rates(spark.createDataFrame(list(sizes.items()), schema)).collect()}
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    size = np.array([sizes[s] for s in order], float)
+    weight = np.resize((5.0, 2.0, 1.0), len(order))
+    open_, target = np.ones(len(order), bool), np.zeros(len(order))
+    while True:
+        share = (1.5 * size.sum() - target[~open_].sum()) / weight[open_].sum() * weight
+        over = open_ & (share > 2 * size)
+        if not over.any():
+            break
+        target[over], open_[over] = 2 * size[over], False
+    target[open_] = share[open_]
+    assert np.allclose([got[s] for s in order], target) and open_.sum() > 3
+
+
+def test_taken_words_come_near_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    plan = mixing.mix_plan(docs)
+    told = plan.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("target").alias("target"), F.sum("size").alias("size"), F.sum(F.col("size") * F.col("size")).alias("squares")).collect()
+    for r in told:  # the copies drawn vary by at most half a document each
+        assert r.taken <= 2 * r.size and abs(r.taken - r.target) <= 4 * 0.5 * r.squares**0.5
+    assert abs(sum(r.taken for r in told) / sum(r.target for r in told) - 1) < 0.02
+
+
 def test_mix_is_repeatable_and_bounded(spark, monkeypatch):
     df = edge(spark)
     plan = mixing.mix_plan(df).collect()
@@ -81,4 +112,3 @@ def test_main_paths_are_native(spark):
     for df in (exact.exact_groups(edge(spark)), mixing.mix_plan(edge(spark))):
         plan = df._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan
-    assert real(spark).count() > 0
