@@ -9,8 +9,9 @@ Lengths are whole numbers up to the capacity, so a packing is decided for counts
    holds them (as many as the gap holds), then into new ones.
 
 A step of the plan says: the pieces of this length with ranks lo .. hi - 1 go to sequences from s on, so many in
-each, at this offset. Ranks are counted within (length, salt) and offset by the counts of the salts before, so a
-length that a third of all pieces share is ranked in many tasks.
+each, at this offset. Ranks are counted within (length, salt) and offset by the counts of the salts before; a length has a
+salt for every ``RANKED`` of its pieces, so one that a third of all pieces share is ranked in many tasks, and the table of
+offsets has a row for so many pieces. Full pieces need no rank: each is a sequence, with a negative number.
 
 Defined cases: a null text is empty, so its document is the end id alone; a document longer than the capacity is
 cut, the remainder first; repeated rows are packed each; null ids are packed like others; an empty table gives an
@@ -32,6 +33,7 @@ from rillstone.llm.tokens import encoder, vocabulary
 
 CAPACITY = 1024
 END = 2
+RANKED = 100_000
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -133,13 +135,15 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, **options) -> Data
     """The pieces of all documents with sequence_id and offset."""
     spark = docs.sparkSession
     cut = materialize(pieces(docs, capacity=capacity, **options), "pieces")
-    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    full = cut.filter(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    part = cut.filter(F.col("length") < capacity)
+    by_length = {r["length"]: r["n"] for r in part.groupBy("length").agg(F.count("*").alias("n")).collect()}  # less than capacity rows
+    steps = spark.createDataFrame(plan(by_length, capacity) or [(0, 0, 0, 0, 1, 0)], "size long, lo long, hi long, first long, each long, at long")
+    salts = spark.createDataFrame([(k, -(-n // RANKED)) for k, n in by_length.items()] or [(0, 1)], "length long, salts long")
+    salted = part.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = materialize(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "ranks")
-    by_length = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
-    steps = spark.createDataFrame(plan(by_length, capacity) or [(0, 0, 0, 0, 1, 0)], "size long, lo long, hi long, first long, each long, at long")
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = (
         salted.withColumn("r", F.row_number().over(within) - 1)
@@ -149,8 +153,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, **options) -> Data
     # the steps number in proportion to the capacity, not to the documents
     placed = ranked.join(F.broadcast(steps), (F.col("length") == F.col("size")) & (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
     turn = F.col("r") - F.col("lo")
-    return placed.select(
+    placed = placed.select(
         *cut.columns,
         (F.col("first") + F.floor(turn / F.col("each"))).cast("long").alias("sequence_id"),
         (F.col("at") + turn % F.col("each") * F.col("length")).cast("long").alias("offset"),
     )
+    return placed.unionByName(full)
