@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rillstone import schemas
 from rillstone.operators import dedupe
+from rillstone.plans import chain
 from rillstone.sources import readers, sinks
 from rillstone.streaming import incremental
 
@@ -39,6 +40,23 @@ def test_zip_archives(spark, tmp_path):
     got = readers.after_header(lines, "EstacaoCodigo", ["Chuva01", "EstacaoCodigo", "Absent"])
     assert sorted(tuple(r)[2:] for r in got.collect()) == [("", "2", None), ("1,5", "1", None)]
     assert "Série" in [r.line for r in lines.collect()]
+    assert {(r.path.split("/")[-1], r.reason) for r in lines.filter("reason is not null").collect()} == {("broken.zip", "no archive")}
+
+
+def test_damaged_archives_tell_why(spark, tmp_path):
+    """A member with a wrong checksum gives a row with a reason and none of its lines below the header; other members are read."""
+    for name in ("good", "bad"):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w", zipfile.ZIP_STORED) as z:
+            z.writestr("d.csv", "k;v\n" + "".join(f"{i};{name}\n" for i in range(30_000)))
+            z.writestr("e.csv", f"k;v\n7;{name}-e\n")
+    whole = (tmp_path / "bad.zip").read_bytes()
+    (tmp_path / "bad.zip").write_bytes(whole.replace(b"29999;bad", b"29999;bAd", 1))
+    (tmp_path / "empty.zip").write_bytes(b"")
+    lines = readers.unzip_lines(readers.archives(spark, str(tmp_path)))
+    told = {(r.path.split("/")[-1], r.member, r.reason) for r in lines.filter("reason is not null").collect()}
+    assert told == {("bad.zip", "d.csv", "unreadable: BadZipFile"), ("empty.zip", None, "no archive")}
+    rows = readers.after_header(lines, "k", ["k", "v"]).groupBy("v").count().collect()
+    assert {(r.v, r["count"]) for r in rows} == {("good", 30_000), ("good-e", 1), ("bad-e", 1)}
 
 
 def test_gzip_text_and_inventory(spark, tmp_path):
@@ -61,6 +79,44 @@ def test_layers_and_merges_repeat(spark):
     assert spark.table("tt_bronze.t").count() == 1
 
 
+def test_null_keys_are_put_aside_once(spark):
+    sinks.create_layers(spark, "nk_", ["bronze"])
+    df = spark.createDataFrame([(1, "a", 1.0), (None, "c", 2.0), (None, "c", 2.0), (None, None, None)], "k int, v string, x double")
+    for _ in range(2):
+        sinks.merge_insert(df, "nk_bronze.t", ["k"], prune="k", aside="nk_bronze.aside")
+    assert spark.table("nk_bronze.t").count() == 1
+    assert sorted((r.v or "", r.reason) for r in spark.table("nk_bronze.aside").collect()) == [("", "null_key"), ("c", "null_key")]
+    spark.sql("DROP DATABASE nk_bronze CASCADE")
+
+
+def test_merges_read_their_own_range(spark):
+    """The filter on the new rows' range is pushed down to the scan of the table."""
+    sinks.create_layers(spark, "pr_", ["bronze"])
+    sinks.append(spark.range(1000), "pr_bronze.t")
+    part = sinks.within(spark.table("pr_bronze.t"), spark.range(990, 1005), "id")
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,990)" in plan and "LessThanOrEqual(id,1004)" in plan and part.count() == 10
+    assert sinks.within(spark.table("pr_bronze.t"), spark.range(0), "id").count() == 0
+    spark.sql("DROP DATABASE pr_bronze CASCADE")
+
+
+def test_a_chain_that_broke_off_is_made_up_for(spark):
+    """Rows that reached bronze but no further are there after the next run of their feed; later feeds leave no gap in the calendar."""
+    schema = "event_id long, station long, sensor string, ts string, value double"
+    rows = [(1, 1, "view", "2024-01-01T05:00:00Z", 5.0), (2, 1, "view", "2024-01-01T06:00:00Z", 7.0), (None, 1, "view", "2024-01-01T07:00:00Z", 9.0), (4, 1, None, "2024-01-01T07:00:00Z", 9.0), (5, 1, "view", "never", 9.0)]
+    feed, later = spark.createDataFrame(rows, schema), spark.createDataFrame([(9, 1, "view", "2024-01-05T05:00:00Z", 3.0)], schema)
+    sinks.create_layers(spark, "br_")
+    sinks.merge_insert(feed, "br_bronze.reading", ["event_id"])
+    for part in (feed, later, feed, feed.limit(0)):
+        layers = chain.run(spark, part, "br_", level_scale=1.0)
+    assert spark.table("br_gold.fact_daily_level").orderBy("time_key").select("time_key", "level").collect() == [(20240101, 6.0), (20240105, 3.0)]
+    assert spark.table("br_gold.dim_time").count() == 5
+    assert {(r.event_id, r.reason) for r in spark.table("br_silver.quarantine").collect()} == {(4, "no_sensor"), (5, "bad_ts")}
+    assert [r.reason for r in spark.table("br_bronze.quarantine").collect()] == ["null_key"]
+    for layer in layers.values():
+        spark.sql(f"DROP DATABASE {layer} CASCADE")
+
+
 def test_fuller_days_win(spark, tmp_path):
     path = str(tmp_path / "days")
     spark.createDataFrame([(1, "d1"), (2, "d1"), (3, "d2")], "v int, d string").write.partitionBy("d").parquet(path)
