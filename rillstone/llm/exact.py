@@ -8,7 +8,8 @@
 4. All other digests have fewer than ``support`` of the rows each and are shuffled in the ordinary way.
 
 Defined cases: a null text counts as the empty text; null ids come before all others, so such a row
-stays only in a group without ids; of rows that repeat id and text exactly one stays; an empty table
+stays only in a group without ids; of rows that repeat id and text exactly one stays (the first by its JSON,
+whatever types its columns have); an empty table
 gives an empty table; extra columns are ignored whatever their names.
 """
 
@@ -75,5 +76,5 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if twice.isEmpty():
         return once.select("r.*")
     # a row whose id and text are repeated: its copies were all joined away above, one comes back
-    back = whole.join(twice, match(twice), "left_semi").groupBy("i", "d").agg(F.min("r").alias("r")).select("r")
+    back = whole.join(twice, match(twice), "left_semi").groupBy("i", "d").agg(F.min_by("r", F.to_json("r")).alias("r")).select("r")
     return once.unionByName(back).select("r.*")
