@@ -12,7 +12,7 @@ __all__ = ["WORDS", "Scratch", "bounded_batches", "join_split", "materialize", "
 WORDS = r"[^\x20\x09-\x0D]+"
 #: A key with more than this share of all rows, and HOT_ROWS, is joined map-side; there are at most 1 / SHARE of them.
 SHARE = 1e-3
-HOT_ROWS = 10_000
+HOT_ROWS = 1000
 #: A table of at most so many short rows is broadcast.
 BROADCAST_ROWS = 1_000_000
 

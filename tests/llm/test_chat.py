@@ -2,7 +2,6 @@ import hashlib
 import random
 
 import pytest
-from conftest import SF
 
 from rillstone.llm import chat
 from rillstone.llm.tokens import encoder, vocabulary
@@ -50,4 +49,3 @@ def test_closing_ids_can_be_learnt(spark):
         import numpy as np
 
         chat.read_turn(np.array([1, 2]), np.array([False, False]), str)
-    assert SF
