@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillstone.operators import calendar, dedupe, profile
 
 
-def frequency(df: DataFrame, ts: str, station: str, k: int = 5) -> dict[str, DataFrame]:
+def tall(report: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """All facets as one table: facet, key (its text columns and those named in keys), measure, value; times as seconds."""
+    out = []
+    for facet, df in report.items():
+        named = set((keys or {}).get(facet, ()))
+        key = [f.name for f in df.schema if f.name in named or f.dataType == T.StringType()]
+        number = lambda f: (F.unix_micros(f.name) / F.lit(1e6) if f.dataType == T.TimestampType() else F.col(f.name).cast("double"))
+        measures = [f for f in df.schema if f.name not in key]
+        each = df.select(F.concat_ws("|", *[F.col(c).cast("string") for c in key]).alias("key"), *[number(f).alias(f.name) for f in measures])
+        out.append(each.unpivot("key", [f.name for f in measures], "measure", "value").select(F.lit(facet).alias("facet"), "key", "measure", "value"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def frequency(df: DataFrame, ts: str, station: str, k: int = 5, accuracy: int = 10_000) -> dict[str, DataFrame]:
     """How often a series reports: coverage, mean rows a day, the commonest rows a day and gaps of its stations."""
     gaps = profile.gaps(df, ts, [station])
     return {
@@ -18,8 +33,8 @@ def frequency(df: DataFrame, ts: str, station: str, k: int = 5) -> dict[str, Dat
         "mean_rows_per_day": profile.mean_rows_per_day(df, ts),
         "top_rows_per_day": profile.top(profile.rows_per_day_histogram(df, ts), k, F.desc("days"), "n"),
         "top_gaps": profile.top(profile.gap_histogram(gaps), k, F.desc("n"), "minutes"),
-        "cadence": profile.cadence(gaps),
-        "cadence_by_station": profile.cadence(gaps, [station]),
+        "cadence": profile.cadence(gaps, (), accuracy),
+        "cadence_by_station": profile.cadence(gaps, [station], accuracy),
     }
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rillstone import schemas
 from rillstone.functions import scalars as S
-from rillstone.operators import analysis, calendar, dedupe, profile, series, shape, star
+from rillstone.operators import analysis, calendar, dedupe, profile, report, series, shape, star
 from rillstone.plans import chain
 from rillstone.shared import materialize, new_path, table
 from rillstone.sources import readers, sinks
@@ -507,6 +507,83 @@ def outlier_class(spark, d):
     return profile.classify_outliers(flagged, "ts", ["station", "sensor"], ["event_id"]).select("event_id", "outlier_class")
 
 
+# --- whole reports, a row per facet, key and measure -----------------------------------------------------------------
+
+
+def _tall_sql(facet: str, measures: str, rows: str, key: str = "''") -> str:
+    return " union all ".join(f"select '{facet}' as facet, ({key})::varchar as key, '{m}' as measure, round(({m})::double, 4) as value from ({rows})" for m in measures.split())
+
+
+def _tall(found: dict[str, DataFrame], keys: dict | None = None) -> DataFrame:
+    return report.tall(found, keys).withColumn("value", F.round("value", 4))
+
+
+_SPAN = "epoch_us(min(ts)) / 1e6::double as first_ts, epoch_us(max(ts)) / 1e6::double as last_ts, count(*) as n"
+_PER_DAY = f"(select ts::date as date, count(*) as n from {E} group by 1)"
+
+
+@query(
+    " union all ".join([
+        _tall_sql("coverage", "first_ts last_ts n", f"select {_SPAN} from {E}"),
+        _tall_sql("mean_rows_per_day", "days n mean_rows", f"select count(*) as days, sum(n) as n, round(avg(n), 2) as mean_rows from {_PER_DAY}"),
+        _tall_sql("top_rows_per_day", "days", f"select n, count(*) as days from {_PER_DAY} group by 1 order by days desc, n limit 5", "n"),
+        _tall_sql("top_gaps", "n", f"select floor(gap_min)::bigint as minutes, count(*) as n from {_GAPS} where gap_min is not null group by 1 order by n desc, minutes limit 5", "minutes"),
+        _tall_sql("cadence", "min_gap median_gap max_gap n", f"select {_CADENCE} from {_GAPS} where gap_min is not null"),
+        _tall_sql("cadence_by_station", "min_gap median_gap max_gap n", f"select station, {_CADENCE} from {_GAPS} where gap_min is not null group by station", "station"),
+    ])
+)
+def report_frequency(spark, d):
+    found = report.frequency(events(spark, d), "ts", "station", accuracy=EXACT)
+    return _tall(found, {"top_rows_per_day": ["n"], "top_gaps": ["minutes"], "cadence_by_station": ["station"]})
+
+
+_ODAYS = "(select distinct o_orderdate::date as date from orders where o_orderkey % 9 = 0 and day(o_orderdate) % 3 <> 0)"
+_OCAL = f"(select unnest(generate_series(min(date), max(date), interval 1 day))::date as date from {_ODAYS})"
+
+
+@query(
+    " union all ".join([
+        _tall_sql("summary", "expected present missing missing_share", f"select *, expected - present as missing, round((expected - present) * 100.0::double / expected, 2) as missing_share from (select date_diff('day', min(date), max(date)) + 1 as expected, count(*) as present from {_ODAYS})"),
+        _tall_sql("first_gaps", "day", f"select date_diff('day', date '1970-01-01', date) as day from {_OCAL} anti join {_ODAYS} using (date) order by 1 limit 10"),
+    ])
+)
+def report_missing(spark, d):
+    some = orders(spark, d).filter((F.col("o_orderkey") % 9 == 0) & (F.dayofmonth("ts") % 3 != 0))
+    found = report.missing(some, "ts")
+    return _tall(found | {"first_gaps": found["first_gaps"].select(F.unix_date("date").alias("day"))})
+
+
+@query(
+    " union all ".join([
+        _tall_sql("exact", "rows duplicates share", f"select count(*) as rows, count(*) - count(distinct event_id) as duplicates, round((count(*) - count(distinct event_id)) * 100.0::double / count(*), 2) as share from {_TWICE}"),
+        _tall_sql("keys", "n_keys", f"select count(*) as n_keys from (select event_id from {_TWICE} group by 1 having count(*) > 1)"),
+        _tall_sql("top_keys", "n", f"select event_id, count(*) as n from {_TWICE} group by 1 having count(*) > 1 order by n desc, event_id limit 5", "event_id"),
+    ])
+)
+def report_duplicates(spark, d):
+    e = events(spark, d)
+    return _tall(report.duplicates(e.unionByName(e.filter("value > 100")), ["event_id"]), {"top_keys": ["event_id"]})
+
+
+@query(
+    " union all ".join([
+        _tall_sql("summary", "q1 q3 iqr low high n outliers share", f"select {_OUT} from {_FLAG} group by q1, q3, iqr, low, high"),
+        _tall_sql("by_station", "n outliers", f"select station, count(*) as n, count(*) filter (where is_outlier) as outliers from {_FLAG} group by 1", "station"),
+        _tall_sql("top", "value", f"select station, strftime(ts, {TS}) as moment, value from {_FLAG} where is_outlier order by value desc, station, ts limit 10", "station || '|' || moment"),
+    ])
+)
+def report_outliers(spark, d):
+    found = report.outliers(events(spark, d), "value", "ts", "station", accuracy=EXACT)
+    return _tall(found | {"top": found["top"].withColumn("ts", stamp("ts"))}, {"by_station": ["station"], "top": ["station"]})
+
+
+@query("select event_id, o_orderkey from events join orders on event_id = o_orderkey where event_id in (select o_orderkey from orders where o_orderstatus = 'F')")
+def members(spark, d):
+    """Readings whose number is among those of the closed orders, with that number."""
+    closed = orders(spark, d).filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("event_id"))
+    return shape.members(events(spark, d), "event_id", closed).select("event_id", F.col("event_id").alias("o_orderkey"))
+
+
 # --- daily series ----------------------------------------------------------------------------------------------------
 
 

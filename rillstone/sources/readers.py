@@ -50,7 +50,7 @@ def over_path(spark: SparkSession, fmt: str, path: str) -> DataFrame:
 
 
 def archives(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
-    """Zip files as rows (path, content), found at any depth."""
+    """Zip files as rows (path, content), found at any depth; Spark leaves out files without a byte."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
 
 

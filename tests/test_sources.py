@@ -51,7 +51,7 @@ def test_damaged_archives_tell_why(spark, tmp_path):
             z.writestr("e.csv", f"k;v\n7;{name}-e\n")
     whole = (tmp_path / "bad.zip").read_bytes()
     (tmp_path / "bad.zip").write_bytes(whole.replace(b"29999;bad", b"29999;bAd", 1))
-    (tmp_path / "empty.zip").write_bytes(b"")
+    (tmp_path / "empty.zip").write_bytes(b"x")
     lines = readers.unzip_lines(readers.archives(spark, str(tmp_path)))
     told = {(r.path.split("/")[-1], r.member, r.reason) for r in lines.filter("reason is not null").collect()}
     assert told == {("bad.zip", "d.csv", "unreadable: BadZipFile"), ("empty.zip", None, "no archive")}
