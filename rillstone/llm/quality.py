@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.llm.store import bounded_batches, materialize
+from rillstone.llm.store import Scratch, bounded_batches
 
 TERM = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 SHAPES = ("<AA>", "<Aa>", "<aa>", "<0>", "<.>")
@@ -150,13 +150,14 @@ def fit(
     spark = docs.sparkSession
     bounded_batches(spark)
     usable = labels.filter(learnable("doc_id") & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    usable = materialize(usable, "usable")
+    step = Scratch(spark)
+    usable = step.write(usable, "usable")
     totals = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     every = sum(totals.values())
     if len(totals) < 2:
         return Model(share=totals.get(1, 0) / every if every else 0.5)
     picked = [usable.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
-    picked = materialize(picked[0].unionByName(picked[1]).select(F.col("doc_id").alias("label_id"), "quality"), "picked")
+    picked = step.write(picked[0].unionByName(picked[1]).select(F.col("doc_id").alias("label_id"), "quality"), "picked")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     sample = (
         docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
@@ -164,7 +165,7 @@ def fit(
         .groupBy("doc_id")
         .agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
     )
-    sample = materialize(sample.repartition(8, "doc_id"), "sample")
+    sample = step.write(sample.repartition(8, "doc_id"), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
@@ -207,6 +208,7 @@ def fit(
 
     key = F.xxhash64("doc_id").alias("h")
     got = sorted(sample.select(key, "text", "quality").mapInArrow(features, "h long, x array<double>, quality int").collect())
+    step.clear()
     x, y = np.array([r[1] for r in got]), np.array([float(r[2]) for r in got])
     if len(set(y)) < 2:
         return Model(share=totals.get(1, 0) / every)

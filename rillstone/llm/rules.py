@@ -1,8 +1,8 @@
 """Quality rules: plain counts per text, then a log-likelihood ratio between a trusted target and the raw corpus.
 
 n-grams of ``N`` bytes of a text are hashed into ``2 ** BITS`` buckets. Bucket counts of the raw corpus are taken over
-every document, those of the target over the trusted documents (label 1; at most ``trusted`` of them, those with the
-least hash of their id, so that their ids can be broadcast). A document's score is the mean over its n-grams of
+every document, those of the target over every trusted one (label 1); their ids are broadcast only up to a counted
+number, else joined by a shuffle. A document's score is the mean over its n-grams of
 log p(target) - log p(raw), both multinomials smoothed by one; it is kept if no plain rule fails and the score is
 at least ``THRESHOLD``, the same number for every document and corpus.
 
@@ -21,12 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.llm.store import bounded_batches, materialize
+from rillstone.llm.store import Scratch, bounded_batches, small
 
 N = 3
 BITS = 14
 THRESHOLD = -0.5
-TRUSTED = 20_000
 SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,42 +65,30 @@ def plain(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeats
 
 
-def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted: int = TRUSTED, n: int = N, bits: int = BITS) -> np.ndarray:
-    """log p(target) - log p(raw) of every bucket, from counts over all documents."""
+def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, bits: int = BITS) -> np.ndarray:
+    """log p(target) - log p(raw) of every bucket, from counts over all documents and all trusted ones."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    good = (
-        labels.filter("quality = 1 and doc_id is not null")
-        .select(F.col("doc_id").cast("long").alias("good_id"))
-        .distinct()
-        .orderBy(F.xxhash64("good_id"), "good_id")
-        .limit(trusted)
-    )
-    good = materialize(good, "trusted").withColumn("good", F.lit(True))
+    step = Scratch(spark)
+    good = step.write(labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "trusted")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    told = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-        .join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left")  # at most ``trusted`` ids
-        .select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    )
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     size = 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, size), np.int64)
+        counts = np.zeros(size, np.int64)
         for b in batches:
-            for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for t in b.column(0).to_pylist():
                 for x in hashed(t, n, bits):
-                    k = np.bincount(x, minlength=size)
-                    counts[0] += k
-                    if g:
-                        counts[1] += k
-        at = np.nonzero(counts[0])[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0][at]), pa.array(counts[1][at])], names=["bucket", "raw", "target"])
-
-    rows = told.mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+                    counts += np.bincount(x, minlength=size)
+        at = np.nonzero(counts)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["bucket", "n"])
+
     counts = np.zeros((2, size))
-    for r in rows.collect():  # at most 2 ** bits rows
-        counts[:, r["bucket"]] = r["raw"], r["target"]
+    for k, part in enumerate((texts, texts.join(small(good), "doc_id", "left_semi"))):
+        for r in part.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most 2 ** bits rows
+            counts[k, r["bucket"]] = r["n"]
+    step.clear()
     if not counts[1].sum():
         return np.zeros(size, np.float64)
     log = np.log((counts + 1) / (counts.sum(axis=1, keepdims=True) + size))

@@ -84,6 +84,15 @@ def test_verdicts(spark):
     got = {(r.doc_id, r.n_words): r for r in rules.judge(edge(spark), lab).collect()}
     assert not any(r.kept for r in got.values()) and got[(1, 0)].base_failed and got[(5, 18000)].base_failed
     assert rules.judge(empty(spark), lab).count() == 0
+    ratio = rules.ratios(real(spark), lab)
+    texts = {r.doc_id: r.text for r in real(spark).select("doc_id", "text").collect()}
+    for r in rules.judge(real(spark), lab).collect():  # the verdict of every row, by brute force
+        words, _, _, _, repeats = brute(texts[r.doc_id])
+        b = (texts[r.doc_id] or "").encode()
+        grams = [(b[i] | b[i + 1] << 8 | b[i + 2] << 16) * 2654435761 % 2**32 >> 18 for i in range(len(b) - 2)]
+        llr = sum(ratio[g] for g in grams) / len(grams) if grams else 0.0
+        failed = words < 50 or 100 * repeats > 50 * words
+        assert (r.base_failed, r.kept) == (failed, not failed and llr >= -0.5) and abs(r.llr - llr) < 1e-9
     told = rules.judge(real(spark), lab).join(lab, "doc_id")
     good = told.filter("quality = 1 and not base_failed")
     assert good.count() and good.filter("not kept").count() == 0
