@@ -9,6 +9,12 @@ from rillstone.llm import chat, exact, html, mixing, packing, pii, quality, rule
 from rillstone.llm.store import table
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A scanned table over as many partitions as there are cores, where its files can't be split so far (one row group)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents"))
     base = [*pii.PATTERNS]
@@ -23,7 +29,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     told = quality.scored(docs, model)
     return told.select(
@@ -39,12 +45,12 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    groups = simhash.near_groups(_spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    told = rules.judge(_spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "labels"))
     return told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("llr", 6).alias("llr"))
 
 
@@ -63,12 +69,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html.extract(table(spark, sf_dir, "pages"))
+    found = html.extract(_spread(table(spark, sf_dir, "pages")))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(_spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 QUERIES = {
