@@ -90,12 +90,16 @@ def links(classes: DataFrame, radius: int = RADIUS, most: int = SMALL, into: Scr
     into = into or Scratch(spark)
     last = max(6, (1 << radius) - 1)  # with so many free bits a bucket is compared whatever it holds; with more, every mask keeps some
     near = f"transform(filter(f, y -> y > x and bit_count(x ^ y) <= {radius}), y -> struct(x as a, y as b))"
-    rows, kept, found = classes.select("fp", F.lit(0).cast("long").alias("kept")), {0}, []
+    rows, kept, found = classes, {0}, []
     while kept:
         masks = sorted({(k, k | m) for k in kept for m in covering_masks(radius, ~k & (1 << 64) - 1)})
         split = {new for _, new in masks if (~new & (1 << 64) - 1).bit_count() > last}
-        table = spark.createDataFrame([(_signed(k), _signed(new), new in split) for k, new in masks], "kept long, next long, more boolean")
-        rows = rows.join(F.broadcast(table), "kept").select("fp", F.col("next").alias("kept"), "more").distinct()  # at most a few hundred masks
+        if kept == {0}:
+            each = F.array(*[F.struct(F.lit(_signed(new)).alias("kept"), F.lit(new in split).alias("more")) for _, new in masks])
+            rows = rows.select("fp", F.explode(each).alias("t")).select("fp", "t.*")
+        else:
+            table = spark.createDataFrame([(_signed(k), _signed(new), new in split) for k, new in masks], "kept long, next long, more boolean")
+            rows = rows.join(F.broadcast(table), "kept").select("fp", F.col("next").alias("kept"), "more").distinct()  # a few hundred masks at most
         rows = into.write(rows.withColumn("key", F.xxhash64("kept", F.col("fp").bitwiseAND(F.col("kept")))), "buckets")
         full = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("rows", F.col("n"))
         met = into.write(join_split(rows, into.write(full, "sizes"), "key"), "met")
