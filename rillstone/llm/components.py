@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 from rillstone.llm.store import Scratch, join_split, materialize
 
 
-def _large(links: DataFrame) -> DataFrame:
+def _large(links: DataFrame, n: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rows")).withColumn("m", F.least("a", "m"))
-    return join_split(both.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return join_split(both.filter("b > a"), least, "a", total=2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small(links: DataFrame) -> DataFrame:
+def _small(links: DataFrame, n: int) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rows"))
-    moved = join_split(down, least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = join_split(down, least, "a", total=n).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -32,7 +32,8 @@ def components(links: DataFrame, into: Scratch | None = None, rounds: int = 50)
     now, seen = tables.write(links.filter("a <> b").select("a", "b").distinct(), "links"), None
     for _ in range(rounds):
         step = Scratch(links.sparkSession)
-        now = step.write(_small(step.write(_large(now), "large")), "small")
+        large = step.write(_large(now, now.count()), "large")
+        now = step.write(_small(large, large.count()), "small")
         tables.clear()
         tables = step
         said = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -32,11 +32,14 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def join_split(rows: DataFrame, of: DataFrame, key: str, share: float = SHARE, floor: int = HOT_ROWS) -> DataFrame:
+def join_split(rows: DataFrame, of: DataFrame, key: str, share: float = SHARE, floor: int = HOT_ROWS, total: int | None = None) -> DataFrame:
     """rows with the columns of ``of``, which has one row a key and in ``rows`` how many rows that key has at most.
 
     Keys above the share (and the floor) are joined where their rows lie, all others by a shuffle, so no task gets a hot key's rows.
+    ``total``, where it is known, says how many rows there are at most.
     """
+    if total is not None and total <= floor:
+        return rows.join(of.drop("rows"), key)
     most, total = of.agg(F.max("rows"), F.sum("rows")).first()
     limit = max(floor, share * (total or 0))
     if (most or 0) <= limit:

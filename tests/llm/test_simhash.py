@@ -88,7 +88,7 @@ def test_hot_fingerprints(spark, monkeypatch):
     """A third of all rows has fingerprint 0; keys above the share are joined map-side."""
     calls = []
     real_split = store.join_split
-    split = lambda rows, of, key: calls.append(key) or real_split(rows, of, key, share=0.01, floor=5)
+    split = lambda rows, of, key, **_: calls.append(key) or real_split(rows, of, key, share=0.01, floor=5)
     monkeypatch.setattr(simhash, "join_split", split)
     monkeypatch.setattr(components, "join_split", split)
     texts = [(k, "" if k % 3 == 0 else f"w{k % 7} of some few words" if k % 3 == 1 else f"text {k} has its own {k * k} words") for k in range(300)]
