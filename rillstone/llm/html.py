@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
     "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"}),
 }
+PARAGRAPH = ({"p"}, {"button", "td", "th", "object", "table"})
 _TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>""")
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
@@ -56,13 +58,12 @@ NAMES = {
     "main": {"content", "article", "post", "entry", "story", "body", "main", "text", "prose", "page"},
 }
 #: What notices of rights say: fixed words.
-RIGHTS = re.compile(r"©|\(c\) *\d{4}|\bcopyright\b|all rights reserved|derechos reservados|tous droits réservés|alle rechte vorbehalten", re.I)
+RIGHTS = ("©", "(c) ", "copyright", "all rights reserved", "derechos reservados", "tous droits réservés", "alle rechte vorbehalten")
 _NAMED = {word: kind for kind, words in reversed(NAMES.items()) for word in words}
 _ANCESTORS = frozenset("article main nav header footer aside form ul ol table section blockquote pre figure figcaption button label select dialog menu address details".split())
 
 
-@dataclass(frozen=True)
-class Element:
+class Element(NamedTuple):
     """An open element and what it and those around it say; sets are shared with the element around where nothing is new."""
 
     name: str = ""
@@ -122,7 +123,11 @@ def blocks(page: str | None) -> list[Block]:
             links -= name == "a"
 
     def last(names) -> int:
-        return max((where[x][-1] for x in names if where.get(x)), default=0)
+        found = 0
+        for x in names:
+            if (at_ := where.get(x)) and at_[-1] > found:
+                found = at_[-1]
+        return found
 
     def say(text: str) -> None:
         nonlocal linked
@@ -179,8 +184,8 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if block:
             flush()
-            own, stops = CLOSES.get(name, ({"p"}, {"button", "td", "th", "object", "table"}))
-            if (k := last(own)) > last(stops):
+            own, stops = CLOSES.get(name, PARAGRAPH)
+            if (k := last(own)) and k > last(stops):
                 close_to(k)
             if name == "body" and where.get("head"):
                 close_to(where["head"][0])
@@ -229,7 +234,8 @@ def features(found: list[Block]) -> list[list[str]]:
             row.append("early")
         if k >= 0.9 * n:
             row.append("late")
-        if RIGHTS.search(b.text):
+        low = b.text.lower()
+        if any(x in low for x in RIGHTS):
             row += ["rights", f"rights+size={size}"]
         if n == 1:
             row.append("only")
