@@ -33,7 +33,7 @@ from rillstone.llm.tokens import encoder, vocabulary
 
 CAPACITY = 1024
 END = 2
-RANKED = 100_000
+RANKED = 1000
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
