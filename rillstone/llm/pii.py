@@ -167,7 +167,7 @@ _MAY = {
     "iban": lambda t: F.regexp_like(t, F.lit(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]")),
     "national": lambda t: F.regexp_like(t, F.lit(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}")),
     "ssn": lambda t: F.regexp_like(t, F.lit(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")),
-    "secret": lambda t: F.regexp_like(t, F.lit(r"[A-Za-z0-9_+/-]{20}")),
+    "secret": lambda t: F.regexp_like(t, F.lit(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20}")),
 }
 
 

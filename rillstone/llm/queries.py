@@ -12,11 +12,12 @@ from rillstone.llm.store import table
 def _spread(df: DataFrame) -> DataFrame:
     """A scanned table over as many partitions as there are cores, where its files can't be split so far (one row group)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    parts = df.select(F.spark_partition_id().alias("p")).agg(F.count_distinct("p")).first()[0]  # reads no column
+    return df if parts >= cores else df.repartition(cores)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    found = pii.find_spans(_spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     base = [*pii.PATTERNS]
     return found.select(
         "doc_id",
