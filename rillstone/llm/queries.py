@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm import chat, exact, html, mixing, packing, pii, quality, rules, simhash, tokenbin
+from rillstone.llm import chat, exact, html, licenses, mixing, packing, pii, quality, rules, simhash, tokenbin
 from rillstone.llm.store import table
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """A scanned table over as many partitions as there are cores, where its files can't be split so far (one row group)."""
+    """A scanned table over as many partitions as there are cores, where its files are few and can't be split so far (one row group)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
     parts = df.select(F.spark_partition_id().alias("p")).agg(F.count_distinct("p")).first()[0]  # reads no column
     return df if parts >= cores else df.repartition(cores)
 
@@ -78,6 +80,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
@@ -89,6 +95,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_html": op9_html,
     "op10_packing": op10_packing,
+    "op11_licenses": op11_licenses,
 }
 
 ORACLE: dict[str, str] = {}
