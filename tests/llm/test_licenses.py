@@ -6,7 +6,7 @@ from helpers import LONG, edge, empty, real
 
 from rillstone.llm import licenses
 
-RULES = licenses.rules()
+RULES = [r | {"regex": re.compile(r["regex"])} for r in licenses.rules()]
 TOLD = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
@@ -21,7 +21,7 @@ def brute(text, phrases=licenses.PHRASES):
     places = [(i, label) for p, label in phrases.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
     found = []
     for r in RULES:
-        for m in re.finditer(r["regex"], joined):
+        for m in r["regex"].finditer(joined):
             found.append((joined.count(" ", 0, m.start()) - 1, joined.count(" ", 0, m.end()), r["priority"], r["id"], r["label"], r["score"]))
     left = [d for d in found if not any(e[0] <= d[0] and e[1] >= d[1] and e[2] >= d[2] and ((e[0], e[1]) != d[:2] or (e[2], -e[3]) > (d[2], -d[3])) for e in found)]
     starts = [i for i, _ in places]
