@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm import chat, exact, html, licenses, mixing, packing, pii, quality, rules, simhash, tokenbin
+from rillstone.llm import chat, collocations, exact, html, licenses, mixing, packing, pii, quality, rules, simhash, spelling, tokenbin
 from rillstone.llm.store import table
 
 
@@ -84,6 +84,14 @@ def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_spread(table(spark, sf_dir, "documents").select("lang", "text")))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
@@ -96,6 +104,8 @@ QUERIES = {
     "op9_html": op9_html,
     "op10_packing": op10_packing,
     "op11_licenses": op11_licenses,
+    "op12_spelling": op12_spelling,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE: dict[str, str] = {}
@@ -156,3 +166,68 @@ select conv_id, count(*) as n_turns,
        sum(chars)::bigint as formatted_chars
 from e group by conv_id
 """
+
+ORACLE["op12_spelling"] = """
+with recursive t(crc) as (
+  select list(list_reduce(list_prepend(i, range(8)), lambda c, _: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by i) from range(256) r(i)
+), r as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) as run from documents
+), c as (
+  select doc_id, run, count(*) as n from r where length(run) >= 6 group by all
+), b as (
+  select run, n, list_transform(range(1, 2 * strlen(x) + 1, 2), lambda i: ('0x' || substr(hex(x), i, 2))::bigint) as bytes from (select run, n, coalesce(doc_id::varchar, '') || ':' || run as x from c)
+), h as (
+  select run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda acc, y: xor(acc // 256, crc[(xor(acc, y) % 256 + 1)::int])), 4294967295) as h from b, t
+), v as (
+  select case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from h
+), w as (
+  select word, sum(n)::bigint as n from v where length(word) >= 6 group by 1 having sum(n) >= 5
+), g as (
+  select word, n, unnest(list_distinct(list_prepend(word, list_transform(range(length(word)), lambda i: substr(word, 1, i) || substr(word, i + 2))))) as part from w
+), p as (
+  select distinct x.word, x.n, y.word as near, y.n as near_n from g x join g y on x.part = y.part and x.word <> y.word where levenshtein(x.word, y.word) = 1
+), f as (
+  select word, n, count(near) as n_near, max(near_n) as best_n, min_by(near, (-near_n, near)) as best from (select w.word, w.n, near, near_n from w left join p using (word)) group by all
+), s as (
+  select word, n, n_near, case when best_n >= 5 * n then best end as form, case when best_n >= 5 * n then best_n end as form_n from f
+), k(word, root, form) as (
+  select word, word, form from s union all select k.word, s.word, s.form from k join s on k.form = s.word
+)
+select s.word, s.form, k.root, s.n, s.n_near, s.form_n from s join k on s.word = k.word and k.form is null
+"""
+
+ORACLE["op13_collocations"] = r"""
+with d as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), p as (
+  select lang, row_number() over () as piece_id, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from d
+), w as (
+  select lang, piece_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from p
+), g as (
+  select lang, w as w1, lead(w) over o as w2, lead(w, 2) over o as w3 from w window o as (partition by piece_id order by i)
+), u as (
+  select lang, w1 as phrase, count(*)::hugeint as f from g group by all
+), b as (
+  select lang, w1, w2, w1 || ' ' || w2 as phrase, count(*)::hugeint as f from g where w2 is not null group by all
+), t as (
+  select lang, w1, w2, w3, w1 || ' ' || w2 || ' ' || w3 as phrase, count(*)::hugeint as f from g where w3 is not null group by all having count(*) >= 10
+), c as (
+  select b.lang, b.phrase, 1 as cut, b.f as a, l.f as l, r.f as r from b join u l on b.lang = l.lang and b.w1 = l.phrase join u r on b.lang = r.lang and b.w2 = r.phrase where b.f >= 10
+  union all
+  select t.lang, t.phrase, 1, t.f, l.f, r.f from t join u l on t.lang = l.lang and t.w1 = l.phrase join b r on t.lang = r.lang and t.w2 = r.w1 and t.w3 = r.w2
+  union all
+  select t.lang, t.phrase, 2, t.f, l.f, r.f from t join b l on t.lang = l.lang and t.w1 = l.w1 and t.w2 = l.w2 join u r on t.lang = r.lang and t.w3 = r.phrase
+), s as (
+  select *, (1000000::hugeint * a * a) // (l * r) as score from c
+), m as (
+  select *, row_number() over (partition by lang, phrase order by score, cut) as nth from s
+), x as (
+  select lang, phrase, max(f) as f from (select lang, w1 || ' ' || w2 as phrase, f from t union all select lang, w2 || ' ' || w3, f from t) group by all
+), k as (
+  select m.lang, m.phrase, m.a, m.l, m.r, m.score from m left join x on m.lang = x.lang and m.phrase = x.phrase where nth = 1 and (x.f is null or 100 * x.f < 50 * m.a)
+), o as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from k
+)
+select o.lang, o.rank, o.phrase, o.a::bigint as a, o.l::bigint as l, o.r::bigint as r, n.n, o.score::bigint as score
+from o join (select lang, count(*) as n from w group by 1) n on o.lang = n.lang where o.rank <= 2000
+"""
