@@ -24,10 +24,13 @@ def dim_time(dates: DataFrame, date: str = "date") -> DataFrame:
     )
 
 
-def dimension(df: DataFrame, natural: Sequence[str], attributes: Sequence[str] = (), key: str = "key") -> DataFrame:
-    """A row per natural key with its hash key and its attributes (of several values the greatest: SCD 1, order-free)."""
-    rows = df.dropna(subset=list(natural)).groupBy(*natural).agg(*[F.max(a).alias(a) for a in attributes]) if attributes else df.select(*natural).dropna().distinct()
-    return rows.select(key_of(*natural).alias(key), *natural, *attributes)
+def dimension(df: DataFrame, natural: Sequence[str], attributes: Sequence[str] = (), key: str = "key", updated: str | None = None) -> DataFrame:
+    """A row per natural key with its hash key and its attributes (SCD 1): those of one version, the one of the latest ``updated`` (a
+    missing time counts as oldest) and of several at that time, or without it, the greatest. No row mixes versions."""
+    rows = df.dropna(subset=list(natural))
+    kept = [*([updated] if updated else []), *attributes]
+    rows = rows.groupBy(*natural).agg(F.max(F.struct(*kept)).alias("v")).select(*natural, "v.*") if kept else rows.select(*natural).distinct()
+    return rows.select(key_of(*natural).alias(key), *natural, *attributes, *([updated] if updated else []))
 
 
 def fact_daily(level: DataFrame, measures: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

@@ -21,7 +21,7 @@ from rillstone.functions import scalars as S
 from rillstone.operators import analysis, calendar, dedupe, profile, report, series, shape, star
 from rillstone.plans import chain
 from rillstone.shared import materialize, new_path, table
-from rillstone.sources import readers, sinks
+from rillstone.sources import ledger, readers, sinks
 from rillstone.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -694,21 +694,55 @@ def _keyless(spark, d) -> DataFrame:
     return landed(spark, d).withColumn("sensor", F.when(k % 89 != 0, F.col("sensor"))).withColumn("event_id", F.when(k % 97 != 0, k))
 
 
-@query(
-    f"""with d as (select station, sensor, ts::date as date, avg(value) as mean, sum(value) as total from {_KEYLESS} where value <= 300 and event_id is not null and sensor is not null group by 1, 2, 3),
+_CHAIN_SQL = f"""with d as (select station, sensor, ts::date as date, avg(value) as mean, sum(value) as total from {_KEYLESS} where value <= 300 and event_id is not null and sensor is not null group by 1, 2, 3),
     p as (select station, date, max(mean) filter (where sensor = 'view') as level, max(mean) filter (where sensor = 'signup') as flow, max(total) filter (where sensor = 'purchase') as rain,
       max(mean) filter (where sensor = 'click') as temp from d group by 1, 2)
     select station, strftime(date, '%Y%m%d')::int as time_key, round(level * 0.01, 6) as level, round(flow, 6) as flow, round(rain, 6) as rain, round(temp, 6) as temp from p where level is not null"""
-)
+
+
+def _told(spark, layers: dict[str, str]) -> DataFrame:
+    fact = spark.table(f"{layers['gold']}.fact_daily_level")
+    where = spark.table(f"{layers['gold']}.dim_location")
+    told = fact.join(where, "location_key").select("station", "time_key", *[F.round(c, 6).alias(c) for c in ("level", "flow", "rain", "temp")])
+    return _then_drop(told, *layers.values())
+
+
+@query(_CHAIN_SQL)
 def medallion_chain(spark, d):
     """The chain from landed text to the fact table, run twice: the second run changes nothing. Some readings lack parts of their key."""
     prefix = _names("c") + "_"
     for _ in range(2):
         layers = chain.run(spark, _keyless(spark, d), prefix)
-    fact = spark.table(f"{layers['gold']}.fact_daily_level")
-    where = spark.table(f"{layers['gold']}.dim_location")
-    told = fact.join(where, "location_key").select("station", "time_key", *[F.round(c, 6).alias(c) for c in ("level", "flow", "rain", "temp")])
-    return _then_drop(told, *layers.values())
+    return _told(spark, layers)
+
+
+@query(_CHAIN_SQL)
+def chain_late(spark, d):
+    """Every day is loaded in two halves, the later hours first: readings that come late correct the rows of their days, so the fact is that
+    of one load. Then the first half comes again, which changes nothing."""
+    prefix = _names("c") + "_"
+    feed = _keyless(spark, d)
+    first, second = feed.filter(F.substring("ts", 12, 2) >= "11"), feed.filter(F.substring("ts", 12, 2) < "11")
+    for part in (first, second, first):
+        layers = chain.run(spark, part, prefix)
+    return _told(spark, layers)
+
+
+_VERSIONS = "(select o_custkey as station, o_orderpriority as name, nullif(o_orderstatus, 'P') as region, o_orderdate as updated from orders where o_custkey is not null)"
+
+
+@query(
+    f"""select station, name, region, strftime(updated, {DAY}) as updated from (
+    select *, row_number() over (partition by station order by updated desc, name desc, region desc nulls last) as rn from {_VERSIONS}) where rn = 1"""
+)
+def dim_scd1(spark, d):
+    """Descriptions of stations change with every order. Feeds of versions come out of order and again; each station keeps its newest version whole."""
+    name = f"{_layer(spark)}.dim_location"
+    versions = orders(spark, d).select(F.col("o_custkey").alias("station"), F.col("o_orderpriority").alias("name"), F.nullif("o_orderstatus", F.lit("P")).alias("region"), F.col("ts").alias("updated"))
+    for part in (F.year("updated") >= 1997, F.year("updated") < 1996, F.year("updated") == 1996, F.year("updated") < 1997):
+        found = star.dimension(versions.filter(part), ["station"], ["name", "region"], "location_key", "updated")
+        sinks.upsert(found.withColumn("bucket", sinks.partition_of("location_key")), name, ["location_key", "station"], "bucket", "updated")
+    return _then_drop(spark.table(name).select("station", "name", "region", S.day_text(F.col("updated")).alias("updated")), name.split(".")[0])
 
 
 @query(
@@ -835,6 +869,43 @@ def roundtrip_json_schema(spark, d):
     return readers.json_array(spark, path, schemas.struct("event_id long, station long, absent string, value double"))
 
 
+_HEAD = """'{"event_id":' || event_id || ',"station":' || station || ',"sensor":"' || sensor || '","ts":'"""
+_GROUP = f"(select min(event_id) as event_id, event_id // 100 as g from {E} group by 2)"
+
+
+@query(
+    f"""select 'line' as form, event_id, null::varchar as reason, null::varchar as raw, 1 as n from {E} where event_id % 37 <> 0 and event_id % 41 <> 0 and event_id % 43 <> 0
+    union all select 'line', null, 'not_json', substr({_HEAD}, 1, 20), 1 from {E} where event_id % 37 = 0
+    union all select 'line', null, 'bad_field: value', {_HEAD} || '"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","value":"n/a"' || chr(125), 1 from {E} where event_id % 37 <> 0 and event_id % 41 = 0
+    union all select 'line', null, 'not_an_object', '"' || event_id || '"', 2 from {E} where event_id % 37 <> 0 and event_id % 41 <> 0 and event_id % 43 = 0
+    union all select 'array', event_id, null, null, 1 from {E} where event_id // 100 % 7 <> 3
+    union all select 'array', null, 'not_json', '[' || substr({_HEAD}, 1, 29), 1 from {E} join {_GROUP} using (event_id) where g % 7 = 3"""
+)
+def corrupt_records(spark, d):
+    """Lines that are cut off, of a wrong type or no record (twice each), and arrays that are cut off, loaded twice: what can be read is typed, the
+    rest is in quarantine once with its text, so every landed record is in one of the two."""
+    e, k = landed(spark, d), F.col("event_id")
+    text = F.to_json(F.struct(*e.columns))
+    odd = (
+        F.when(k % 37 == 0, F.array(F.substring(text, 1, 20))).when(k % 41 == 0, F.array(F.regexp_replace(text, r'"value":[^}]*', '"value":"n/a"')))
+        .when(k % 43 == 0, F.array_repeat(F.concat(F.lit('"'), k.cast("string"), F.lit('"')), 2)).otherwise(F.array(text))
+    )
+    lines, arrays = new_path(spark, "lines"), new_path(spark, "arrays")
+    e.select(F.explode(odd).alias("value")).coalesce(1).write.text(lines)  # so that equal lines are in one file
+    listed = e.groupBy(F.floor(k / 100).alias("g")).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*e.columns)))).alias("value"))
+    listed.select(F.when(F.col("g") % 7 == 3, F.substring("value", 1, 30)).otherwise(F.col("value")).alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", " ").text(arrays)
+    layer, out = _layer(spark), []
+    for form, raw in (("line", readers.landed_lines(spark, lines)), ("array", readers.landed_arrays(spark, arrays))):
+        for _ in range(2):
+            told = readers.checked(raw, schemas.EVENT)
+            sinks.merge_insert(told.filter("reason is null").select(*schemas.EVENT.names), f"{layer}.{form}", ["event_id"], prune="event_id")
+            sinks.put_broken_aside(told.filter("reason is not null"), f"{layer}.{form}_broken")
+        typed = spark.table(f"{layer}.{form}").select("event_id", F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("raw"), F.lit(1).cast("long").alias("n"))
+        broken = spark.table(f"{layer}.{form}_broken").select(F.lit(None).cast("long").alias("event_id"), "reason", F.rtrim("raw").alias("raw"), "n")
+        out.append(typed.unionByName(broken).select(F.lit(form).alias("form"), "event_id", "reason", "raw", "n"))
+    return _then_drop(out[0].unionByName(out[1]), layer)
+
+
 @query(f"select sensor, count(*) as n from {E} group by 1")
 def roundtrip_recursive(spark, d):
     path = new_path(spark, "tree")
@@ -945,6 +1016,38 @@ def roundtrip_ledger(spark, d):
     return readers.unread(spark, files, ledger).groupBy("sensor").agg(F.count("*").alias("n"))
 
 
+@query(f"select event_id, case when event_id % 10 = 4 then value + 1 else value end as value, taken from {E}, (select unnest([10, 0, 1, 10, 0]) as taken, unnest([1, 2, 3, 4, 5]) as run) where run = 1 + event_id % 5")
+def ledger_load(spark, d):
+    """Five runs of a batch load over ten files: all are taken, then none; one file is changed and is taken again; a run breaks off between
+    merge and ledger, so the ten files of another folder are loaded again, which adds nothing; then none. Rows carry how many files their run
+    (by event_id modulo 5) took."""
+    layer, top = _layer(spark), new_path(spark, "feeds")
+    e = landed(spark, d)
+
+    def land(rows: DataFrame, folder: str) -> None:
+        rows.withColumn("part", F.pmod("event_id", F.lit(10))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").json(f"{top}/{folder}")
+
+    def run(folder: str, fails: bool = False) -> int:
+        def merge(rows: DataFrame) -> None:
+            sinks.upsert(rows.select("event_id", "value", F.pmod("event_id", F.lit(8)).cast("int").alias("bucket")), f"{layer}.{folder}", ["event_id"], "bucket")
+            if fails:
+                raise InterruptedError
+
+        return ledger.load(spark, f"{top}/{folder}", f"{layer}.ledger", lambda s, files: readers.json_lines(s, files, schemas.EVENT), merge, "*.json", files_a_batch=4)
+
+    land(e.coalesce(1), "a")
+    taken = [run("a"), run("a")]
+    land(e.filter("event_id % 10 = 4").withColumn("value", F.col("value") + 1).coalesce(1), "a")
+    taken.append(run("a"))
+    land(e.coalesce(1), "b")
+    try:
+        run("b", fails=True)
+    except InterruptedError:
+        taken += [run("b"), run("b")]
+    rows = spark.table(f"{layer}.a").join(spark.table(f"{layer}.b").select("event_id"), "event_id")
+    return _then_drop(rows.select("event_id", "value", F.element_at(F.array(*[F.lit(n).cast("long") for n in taken]), (F.col("event_id") % 5 + 1).cast("int")).alias("taken")), layer)
+
+
 @query(f"select distinct station::int as codigoestacao from {E}")
 def roundtrip_stations(spark, d):
     path = new_path(spark, "stations")
@@ -1037,4 +1140,4 @@ def stream_load(spark, d):
             sinks.json_lines(part, folder, "append")
         incremental.load_new_files(spark, folder, schemas.EVENT, name, ["event_id"], checkpoint, prune="event_id", aside=aside)
     loaded = spark.table(name).withColumn("reason", F.lit(None).cast("string"))
-    return _then_drop(loaded.unionByName(spark.table(aside).drop("row_hash")), layer)
+    return _then_drop(loaded.unionByName(spark.table(aside).drop("row_hash", "bucket")), layer)

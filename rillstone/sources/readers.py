@@ -1,4 +1,8 @@
-"""Readers of landed files. Schemas are given, fields that are missing become null, other fields are dropped."""
+"""Readers of landed files. Schemas are given, fields that are missing become null, other fields are dropped.
+
+``json_array`` and ``json_lines`` are Spark's own readers, which make nulls of what they can't parse. ``landed_lines`` and
+``landed_arrays`` with ``checked`` keep the text of every record and say what is wrong with it.
+"""
 
 from __future__ import annotations
 
@@ -24,11 +28,44 @@ def frozen_schema(spark: SparkSession, path: str, fmt: str = "json", **options)
     return spark.read.options(**options).format(fmt).load(path).schema
 
 
-def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def json_lines(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """A JSON object a line: splittable."""
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
+def landed_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, raw: the lines of text files as they are, but for blank ones; splittable."""
+    return _raw(spark.read.text(path))
+
+
+def landed_arrays(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, raw: the elements of files that hold a JSON array each, as they stand in the file. A file that holds none is one row, its whole
+    text; a file is read by one task."""
+    files = _raw(spark.read.option("wholetext", True).text(path))
+    whole = F.from_json("raw", "array<string>", {"mode": "PERMISSIVE"})
+    listed = F.when(F.regexp_like("raw", F.lit(r"^\s*+\[")) & F.try_parse_json("raw").isNotNull(), whole)
+    return files.select("file", F.explode(F.coalesce(listed, F.array("raw"))).alias("raw"))
+
+
+def _raw(text: DataFrame) -> DataFrame:
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw")).filter(F.regexp_like("raw", F.lit(r"\S")))
+
+
+def checked(landed: DataFrame, schema: T.StructType) -> DataFrame:
+    """file, raw, reason and the fields of the schema. The reason is null for a good record; else it is ``not_json``, ``not_an_object`` or
+    ``bad_field: ...`` with the fields whose value doesn't fit their type, and the fields that could be read are kept."""
+    broken = "__broken"
+    whole = T.StructType([*schema, T.StructField(broken, T.StringType())])
+    parsed = landed.select("file", "raw", F.from_json("raw", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken}).alias("r"), F.try_parse_json("raw").alias("v"))
+    lost = [F.when(F.get_json_object("raw", f"$['{f.name}']").isNotNull() & F.col(f"r.`{f.name}`").isNull(), F.lit(f.name)) for f in schema]
+    kind = F.substring(F.ltrim("raw"), 1, 1)
+    reason = (
+        F.when(F.col("v").isNull(), "not_json").when(kind != "{", "not_an_object")
+        .when(F.col(f"r.{broken}").isNotNull(), F.concat(F.lit("bad_field: "), F.concat_ws(",", *lost)))
+    )
+    return parsed.select("file", "raw", reason.alias("reason"), *[F.col(f"r.`{f.name}`").alias(f.name) for f in schema])
+
+
 def tree(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json") -> DataFrame:
     """All files under a folder, however deep, with the file each row came from."""
     return spark.read.schema(schema).option("recursiveFileLookup", True).format(fmt).load(path).withColumn("file", F.col("_metadata.file_path"))
@@ -103,6 +140,12 @@ def after_header(lines: DataFrame, starts: str, columns: Sequence[str], sep: str
     return rows.select("path", "member", *[F.get("cells", (F.array_position("names", F.lit(c)) - 1).cast("int")).alias(c) for c in columns])
 
 
+def stats(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """file, size, modified of all files under a folder, however deep; their content isn't read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return found.select(F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
 def unread(spark: SparkSession, files: DataFrame, ledger: DataFrame) -> DataFrame:
     """Rows of files (with column file) whose file isn't in the ledger yet."""
     return files.join(ledger.select("file"), "file", "left_anti")

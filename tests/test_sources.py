@@ -140,3 +140,121 @@ def test_stream_equals_batch_in_any_order(spark, tmp_path):
 def test_frozen_schema(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"k": 1, "v": "x"}\n')
     assert readers.frozen_schema(spark, str(tmp_path)).simpleString() == "struct<k:bigint,v:string>"
+
+
+def files_of(spark, name):
+    """partition -> data files of a table."""
+    import collections
+    import pathlib
+
+    top = pathlib.Path(spark.sql(f"DESCRIBE FORMATTED {name}").filter("col_name = 'Location'").first()["data_type"].removeprefix("file:"))
+    found = collections.defaultdict(set)
+    for p in top.rglob("*.parquet"):
+        found[p.parent.name].add(p.name)
+    return dict(found)
+
+
+def test_upsert_keeps_whole_newest_versions(spark):
+    """Only the buckets of changed keys are written; a second run writes nothing; versions aren't mixed and older ones don't win."""
+    sinks.create_layers(spark, "up_", ["gold"])
+    schema = "k int, a string, b string, at int, bucket int"
+    put = lambda rows: sinks.upsert(spark.createDataFrame(rows, schema), "up_gold.t", ["k"], "bucket", "at")
+    first = [(1, "A", "Z", 1, 0), (1, "B", "Y", 1, 0), (2, "C", None, None, 1), (3, "D", "x", 5, 2), (None, "n", "n", 9, 0)]
+    assert put(first) == [0, 1, 2]
+    before = files_of(spark, "up_gold.t")
+    assert put(first) == [] and put(first[:2] * 2 + [(3, "old", "old", 4, 2), (3, "none", "none", None, 2)]) == [] and put([]) == []
+    assert files_of(spark, "up_gold.t") == before
+    assert put([(2, "C2", None, 0, 1), (3, "D", "x", 5, 2), (4, None, None, 7, 1)]) == [1]
+    after = files_of(spark, "up_gold.t")
+    assert {b: after[b] == before[b] for b in before} == {"bucket=0": True, "bucket=1": False, "bucket=2": True}
+    assert sorted(tuple(r) for r in spark.table("up_gold.t").select("k", "a", "b", "at").collect()) == [(1, "B", "Y", 1), (2, "C2", None, 0), (3, "D", "x", 5), (4, None, None, 7)]
+    spark.sql("DROP DATABASE up_gold CASCADE")
+
+
+def test_late_readings_correct_their_day_alone(spark):
+    """A second feed brings another reading of a loaded day: its row changes, the files of the other days stay; loading again writes nothing."""
+    schema = "event_id long, station long, sensor string, ts string, value double"
+    feed = lambda *rows: spark.createDataFrame(list(rows), schema)
+    early = feed((1, 1, "view", "2024-01-01T00:00:00Z", 100.0), (2, 1, "view", "2024-01-02T00:00:00Z", 50.0), (3, 2, "view", "2024-01-01T05:00:00Z", 7.0))
+    late = feed((9, 1, "view", "2024-01-01T12:00:00Z", 200.0), (10, 1, "purchase", "2024-01-01T13:00:00Z", 3.0))
+    places = spark.createDataFrame([(1, "A", "Z", 1), (1, "B", "Y", 2), (7, "C", "X", 1)], "station long, name string, river string, at int")
+    run = lambda part, where=None: chain.run(spark, part, "lt_", level_scale=0.01, locations=where, attributes=["name", "river"], updated="at")
+    layers = run(early, places)
+    before = files_of(spark, "lt_gold.fact_daily_level")
+    run(late)
+    after = files_of(spark, "lt_gold.fact_daily_level")
+    assert before["time_key=20240102"] == after["time_key=20240102"] and before["time_key=20240101"] != after["time_key=20240101"]
+    told = lambda: sorted((r.station, r.time_key, r.level, r.rain) for r in spark.table("lt_gold.fact_daily_level").join(spark.table("lt_gold.dim_location"), "location_key").collect())
+    assert told() == [(1, 20240101, 1.5, 3.0), (1, 20240102, 0.5, None), (2, 20240101, 0.07, None)]
+    run(early), run(late, places)
+    assert files_of(spark, "lt_gold.fact_daily_level") == after
+    assert sorted((r.station, r.name, r.river) for r in spark.table("lt_gold.dim_location").collect()) == [(1, "B", "Y"), (2, None, None), (7, "C", "X")]
+    for layer in layers.values():
+        spark.sql(f"DROP DATABASE {layer} CASCADE")
+
+
+def test_ranges_follow_the_values(spark):
+    """A stray value is a range of its own; a merge with one reads no row between."""
+    import datetime as dt
+
+    rows = spark.range(1000, 1100).unionByName(spark.createDataFrame([(3,)], "id long"))
+    assert sinks.ranges(rows, "id")[0] == (3, 3) and sinks.ranges(rows, "id")[1][0] >= 1000
+    days = rows.select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    assert sinks.ranges(days, "d", 4)[0] == (dt.date(2020, 1, 4),) * 2 and len(sinks.ranges(days, "d", 4)) == 2
+    assert sinks.ranges(days.select(F.col("d").cast("string").alias("s")), "s") == [("2020-01-04", "2023-01-04")]
+    assert sinks.ranges(rows.limit(0), "id") == [] and sinks.within(rows, rows, "id").count() == 101
+
+
+def test_broken_records_keep_their_text(spark, tmp_path):
+    """Every landed record is good or has a reason; its text is that of the file, byte for byte."""
+    schema = schemas.struct("k long, v double, s string")
+    lines = ['{"k": 1, "v": 2.5, "s": "é"}', '{"k": 2, "v": "x",  "s": "y"}', '{"k": 3, "v": ', "", "  ", "[1, 2]", "null", '{"k": "a", "v": true}', '{"other": 1}', '{"k":4}{"k":5}', "not json é"]
+    (tmp_path / "l.json").write_text("\n".join(lines))
+    got = {r.raw: (r.reason, r.k, r.v, r.s) for r in readers.checked(readers.landed_lines(spark, str(tmp_path)), schema).collect()}
+    assert set(got) == {x for x in lines if x.strip()}
+    assert got[lines[0]] == (None, 1, 2.5, "é") and got[lines[8]] == (None, None, None, None)
+    assert got[lines[1]] == ("bad_field: v", 2, None, "y") and got[lines[7]][0] == "bad_field: k,v"
+    assert [got[lines[i]][0] for i in (2, 5, 6, 9, 10)] == ["not_json", "not_an_object", "not_an_object", "not_json", "not_json"]
+
+    folder = tmp_path / "arrays"
+    folder.mkdir()
+    texts = {"a": ' [ {"k": 1,  "v": 1e0}, {"k": "x"}, 7 ]', "b": '[{"k": 1}, {"k": 2', "c": '{"k": 9}', "d": "[]", "e": " \n"}
+    for name, text in texts.items():
+        (folder / f"{name}.json").write_text(text)
+    rows = readers.checked(readers.landed_arrays(spark, str(folder)), schema).collect()
+    assert sorted((r.file[-6], r.raw, r.reason) for r in rows) == [
+        ("a", "7", "not_an_object"), ("a", '{"k": "x"}', "bad_field: k"), ("a", '{"k": 1,  "v": 1e0}', None), ("b", texts["b"], "not_json"), ("c", texts["c"], None),
+    ]
+
+
+def test_stream_puts_broken_lines_aside(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"event_id": 1, "station": 2}\n{"event_id": 2,\n{"event_id": 2,\n{"event_id": 3}\n')
+    spark.sql("CREATE DATABASE IF NOT EXISTS sb")
+    for _ in range(2):
+        incremental.load_new_files(spark, str(tmp_path / "in"), schemas.EVENT, "sb.t", ["event_id"], str(tmp_path / "cp"))
+    assert sorted(r.event_id for r in spark.table("sb.t").collect()) == [1, 3]
+    assert [(r.raw, r.reason, r.n, r.file[-6:]) for r in spark.table("sb.t_broken").collect()] == [('{"event_id": 2,', "not_json", 2, "a.json")]
+    spark.sql("DROP DATABASE sb CASCADE")
+
+
+def test_a_failed_replace_leaves_the_old_rows(spark):
+    sinks.create_layers(spark, "rp_", ["gold"])
+    sinks.append(spark.range(10), "rp_gold.t")
+    bad = spark.range(10).select(F.when(F.col("id") == 7, F.raise_error(F.lit("broken"))).otherwise(F.col("id")).cast("long").alias("id"))
+    try:
+        sinks.replace(bad, "rp_gold.t")
+        raise AssertionError("the write should fail")
+    except Exception as e:
+        assert "broken" in str(e)
+    assert spark.table("rp_gold.t").count() == 10
+    for least in (5, 8):
+        sinks.replace(spark.table("rp_gold.t").filter(F.col("id") >= least), "rp_gold.t")
+        assert sorted(r.id for r in spark.table("rp_gold.t").collect()) == list(range(least, 10))
+    sinks.append(spark.range(2), "rp_gold.t")
+    assert spark.table("rp_gold.t").count() == 4
+    sinks.create_empty(spark, "rp_gold.p", spark.range(1).selectExpr("id", "id as d").schema, ["d"])
+    sinks.append(spark.range(4).selectExpr("id", "id % 2 as d"), "rp_gold.p")
+    sinks.replace(spark.table("rp_gold.p").filter("d = 1"), "rp_gold.p")
+    assert sorted(r.id for r in spark.table("rp_gold.p").filter("d = 1").collect()) == [1, 3] and spark.table("rp_gold.p").count() == 2
+    spark.sql("DROP DATABASE rp_gold CASCADE")
