@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from rillstone.llm.store import Scratch, bounded_batches, join_split, materialize
 
 LONGEST, OFTEN, SHARE, TOP = 3, 10, 50, 2000
-WORDS_A_FLUSH, SLICE, PART_BYTES, FILTER_BYTES, BITS_AN_ENTRY, PROBES = 2_000_000, 1 << 20, 64 << 20, 32 << 20, 16, 4
+WORDS_A_FLUSH, SLICE, PART_BYTES, FILTER_BYTES, BITS_AN_ENTRY, PROBES = 1_000_000, 1 << 20, 64 << 20, 32 << 20, 16, 4
 #: Characters that end a piece, and the tab, as what they are read as.
 _READ_AS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 _MIX, _LOW48 = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 48) - 1)
@@ -138,7 +138,9 @@ _DEALT = "part int, hashes binary, counts binary"
 
 def _dealt(phrases: _Phrases, parts: int) -> pa.RecordBatch:
     """A row for each hash partition: the hashes of its phrases, those counted more than once first, with their counts."""
-    h, n = (np.concatenate([np.zeros(0, t), *(x[i] for x in found)]) for found in [list(phrases.counted())] for i, t in ((5, np.uint64), (4, np.int64)))
+    found = [(h, n) for *_, n, h in phrases.counted()]
+    h = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in found)])
+    n = np.concatenate([np.zeros(0, np.int64), *(x for _, x in found)])
     more = n > 1
     once, often, n = np.sort(h[~more]), h[more], n[more]
     order = np.argsort(often)
