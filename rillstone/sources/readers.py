@@ -39,8 +39,8 @@ def landed_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def landed_arrays(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, raw: the elements of files that hold a JSON array each, as they stand in the file. A file that holds none is one row, its whole
-    text; a file is read by one task."""
+    """file, raw: the elements of files that hold a JSON array each, as JSON without the spaces between. A file that holds none, as one
+    that is cut off, is one row: its whole text, as it is. A file is read by one task."""
     files = _raw(spark.read.option("wholetext", True).text(path))
     whole = F.from_json("raw", "array<string>", {"mode": "PERMISSIVE"})
     listed = F.when(F.regexp_like("raw", F.lit(r"^\s*+\[")) & F.try_parse_json("raw").isNotNull(), whole)
@@ -56,11 +56,11 @@ def checked(landed: DataFrame, schema: T.StructType) -> DataFrame:
     ``bad_field: ...`` with the fields whose value doesn't fit their type, and the fields that could be read are kept."""
     broken = "__broken"
     whole = T.StructType([*schema, T.StructField(broken, T.StringType())])
-    parsed = landed.select("file", "raw", F.from_json("raw", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken}).alias("r"), F.try_parse_json("raw").alias("v"))
+    parsed = landed.select("file", "raw", F.from_json("raw", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken}).alias("r"), F.try_parse_json(F.concat(F.lit("["), "raw", F.lit("]"))).alias("v"))  # as a list, for what follows a record would be passed over
     lost = [F.when(F.get_json_object("raw", f"$['{f.name}']").isNotNull() & F.col(f"r.`{f.name}`").isNull(), F.lit(f.name)) for f in schema]
     kind = F.substring(F.ltrim("raw"), 1, 1)
     reason = (
-        F.when(F.col("v").isNull(), "not_json").when(kind != "{", "not_an_object")
+        F.when(F.col("v").isNull() | F.try_variant_get("v", "$[1]", "variant").isNotNull(), "not_json").when(kind != "{", "not_an_object")
         .when(F.col(f"r.{broken}").isNotNull(), F.concat(F.lit("bad_field: "), F.concat_ws(",", *lost)))
     )
     return parsed.select("file", "raw", reason.alias("reason"), *[F.col(f"r.`{f.name}`").alias(f.name) for f in schema])
