@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillstone.operators import calendar, dedupe, profile
+from rillstone.shared import Scratch
 
 
 def tall(report: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
@@ -25,13 +26,20 @@ def tall(report: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]] | No
     return reduce(DataFrame.unionByName, out)
 
 
-def frequency(df: DataFrame, ts: str, station: str, k: int = 5, accuracy: int = 10_000) -> dict[str, DataFrame]:
-    """How often a series reports: coverage, mean rows a day, the commonest rows a day and gaps of its stations."""
-    gaps = profile.gaps(df, ts, [station])
+def frequency(df: DataFrame, ts: str, station: str, k: int = 5, accuracy: int | None = 10_000, into: Scratch | None = None) -> dict[str, DataFrame]:
+    """How often a series reports: coverage, mean rows a day, the commonest rows a day and gaps of its stations.
+
+    The readings are read for a row per day and for their gaps, once each; all facets come from these two tables, which live until ``into`` is cleared."""
+    into = into or Scratch(df.sparkSession)
+    slim = df.select(station, ts)
+    dated = slim.groupBy(F.to_date(ts).alias("date")).agg(F.count("*").alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+    days = into.write(dated, "days")
+    gaps = into.write(profile.gaps_ranged(slim, ts, [station]).select(station, "gap_min"), "gaps")
+    known = days.filter("date is not null").select("date", "n")
     return {
-        "coverage": profile.coverage(df, ts),
-        "mean_rows_per_day": profile.mean_rows_per_day(df, ts),
-        "top_rows_per_day": profile.top(profile.rows_per_day_histogram(df, ts), k, F.desc("days"), "n"),
+        "coverage": days.agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")),
+        "mean_rows_per_day": profile.days_mean(known),
+        "top_rows_per_day": profile.top(profile.days_histogram(known), k, F.desc("days"), "n"),
         "top_gaps": profile.top(profile.gap_histogram(gaps), k, F.desc("n"), "minutes"),
         "cadence": profile.cadence(gaps, (), accuracy),
         "cadence_by_station": profile.cadence(gaps, [station], accuracy),

@@ -20,7 +20,7 @@ from rillstone import schemas
 from rillstone.functions import scalars as S
 from rillstone.operators import analysis, calendar, dedupe, profile, report, series, shape, star
 from rillstone.plans import chain
-from rillstone.shared import materialize, new_path, table
+from rillstone.shared import Scratch, materialize, new_path, table
 from rillstone.sources import ledger, readers, sinks
 from rillstone.streaming import incremental
 
@@ -119,6 +119,13 @@ def gap_series(spark, d):
     return profile.gaps_by_day(events(spark, d), "ts", (), ["event_id"]).select("event_id", F.round("gap_min", 4).alias("gap_min"))
 
 
+@query(f"select event_id, sensor, round((epoch_us(ts) - epoch_us(lag(ts) over w)) / 60000000.0::double, 4) as gap_min, lead(event_id) over w as after from {E} window w as (partition by sensor order by ts, event_id)")
+def gap_ranges(spark, d):
+    """Gaps, and the next reading, of series that hold a fifth of all rows each, by ranges of a few hundred rows."""
+    met = profile.with_neighbours(events(spark, d), ["sensor"], ["ts", "event_id"], {"before": "ts"}, {"after": "event_id"}, rows=300)
+    return met.select("event_id", "sensor", F.round(S.minutes_between(F.col("before"), F.col("ts")), 4).alias("gap_min"), "after")
+
+
 @query(f"select floor(gap_min)::bigint as minutes, count(*) as n from {_GAPS} where gap_min is not null group by 1")
 def gap_hist(spark, d):
     return profile.gap_histogram(profile.gaps(events(spark, d), "ts", ["station"], ["event_id"]))
@@ -492,6 +499,24 @@ def outliers_by_group(spark, d):
     return _r4(profile.outlier_summary(profile.flag_outliers(events(spark, d), "value", ["sensor"], accuracy=EXACT), ["sensor"]))
 
 
+@query(
+    f"""with s as (select unnest([0.01::double, 0.25, 0.5, 0.9, 1]) as share)
+    select 'all' as series, share, (case share when 0.01 then quantile_disc(value, 0.01) when 0.25 then quantile_disc(value, 0.25) when 0.5 then quantile_disc(value, 0.5) when 0.9 then quantile_disc(value, 0.9) else max(value) end) as quantile from {E}, s group by share
+    union all select sensor, share, (case share when 0.01 then quantile_disc(value, 0.01) when 0.25 then quantile_disc(value, 0.25) when 0.5 then quantile_disc(value, 0.5) when 0.9 then quantile_disc(value, 0.9) else max(value) end) from {E}, s group by sensor, share"""
+)
+def quantiles_exact(spark, d):
+    """Quantiles by rank selection, of all readings and of each sensor's, with ranges split until they hold a hundred readings."""
+    shares = [0.01, 0.25, 0.5, 0.9, 1.0]
+    whole = profile.exact_quantiles(events(spark, d), "value", shares, parts=16, few=100).select(F.lit("all").alias("series"), "share", "quantile")
+    return whole.unionByName(profile.exact_quantiles(events(spark, d), "value", shares, ["sensor"], parts=16, few=100).withColumnRenamed("sensor", "series"))
+
+
+@query(f"select sensor, {_OUT} from {_FLAG_BY} group by sensor, q1, q3, iqr, low, high")
+def outliers_exact(spark, d):
+    """The fences of each sensor without an approximate step."""
+    return _r4(profile.outlier_summary(profile.flag_outliers(events(spark, d), "value", ["sensor"], accuracy=None), ["sensor"]))
+
+
 @query(f"select event_id, station, value from {_FLAG} where is_outlier order by value desc, event_id limit 10")
 def outliers_top(spark, d):
     flagged = profile.flag_outliers(events(spark, d), "value", accuracy=EXACT).filter("is_outlier")
@@ -533,8 +558,11 @@ _PER_DAY = f"(select ts::date as date, count(*) as n from {E} group by 1)"
     ])
 )
 def report_frequency(spark, d):
-    found = report.frequency(events(spark, d), "ts", "station", accuracy=EXACT)
-    return _tall(found, {"top_rows_per_day": ["n"], "top_gaps": ["minutes"], "cadence_by_station": ["station"]})
+    step = Scratch(spark)
+    found = report.frequency(events(spark, d), "ts", "station", accuracy=EXACT, into=step)
+    told = materialize(_tall(found, {"top_rows_per_day": ["n"], "top_gaps": ["minutes"], "cadence_by_station": ["station"]}), "report")
+    step.clear()
+    return told
 
 
 _ODAYS = "(select distinct o_orderdate::date as date from orders where o_orderkey % 9 = 0 and day(o_orderdate) % 3 <> 0)"
