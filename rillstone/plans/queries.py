@@ -868,6 +868,46 @@ def causality(spark, d):
     return c.select(F.round("f", 4).alias("f"), "df1", "df2", *[F.round(F.col(f"ssr_{k}") / F.col("n"), 6).alias(f"mse_{k}") for k in ("own", "full")], "n")
 
 
+CUTS = ("1997-01-01", "1998-01-01", "1999-01-01", "2000-07-01")
+_SERIES = "(select o_orderpriority as station, o_orderdate::date as date, avg(o_totalprice) as level, sum(o_totalprice) / 1000 as temp from orders group by 1, 2)"
+_SERIES_DENSE = f"(select * from (select station, unnest(generate_series(min(date), max(date), interval 1 day))::date as date from {_SERIES} group by 1) left join {_SERIES} using (station, date))"
+_FORECAST = f"""with l as (select station, date, level, lag(level) over w as l1, lag(temp) over w as t1 from {_SERIES_DENSE} window w as (partition by station order by date)),
+    r as (select * from l where level is not null and l1 is not null and t1 is not null),
+    f as (select unnest({list(range(1, len(CUTS) + 1))}) as fold, unnest({list(CUTS)})::date as start, unnest({[*CUTS[1:], "9999-12-31"]})::date as stop),
+    m as (select station, fold, {_two("level", "l1", "t1", "")}, count(*) as n_train from r join f on date < start group by 1, 2),
+    t as (select r.station, r.date, f.fold, r.level as target, r.l1 as previous, c + a * l1 + b * t1 as forecast, coalesce(n_train, 0) as n_train
+      from r join f on r.date >= f.start and r.date < f.stop left join m on m.station = r.station and m.fold = f.fold and n_train >= 4)"""
+
+
+def _forecasts(spark, d) -> tuple[DataFrame, DataFrame]:
+    o = orders(spark, d).select(F.col("o_orderpriority").alias("station"), F.to_date("ts").alias("date"), "o_totalprice")
+    daily = o.groupBy("station", "date").agg(F.avg("o_totalprice").alias("level"), (F.sum("o_totalprice") / 1000).alias("temp"))
+    dense = calendar.gap_filled(daily, ["station"], ["level", "temp"])
+    lagged = series.lagged(series.lagged(dense, ["station"], "date", "level", [1]), ["station"], "date", "temp", [1])
+    return analysis.walk_forward(lagged, ["station"], "date", ["level_lag1", "temp_lag1"], "level", CUTS), lagged
+
+
+@query(_FORECAST + f" select station, strftime(date, {DAY}) as date, fold, round(target, 4) as target, round(forecast, 4) as forecast, n_train from t")
+def forecast_walk(spark, d):
+    """Forecasts of a day's level from the day before, by models per station that are fitted on what lies before each of four cuts."""
+    f, _ = _forecasts(spark, d)
+    return f.select("station", S.day_text(F.col("date")).alias("date"), "fold", F.round("target", 4).alias("target"), F.round("forecast", 4).alias("forecast"), "n_train")
+
+
+_ERRORS = "count(*) as n, avg(abs(forecast - target)) as mae, avg(abs(previous - target)) as mae_persistence, sqrt(avg((forecast - target) ** 2)) as rmse, sqrt(avg((previous - target) ** 2)) as rmse_persistence"
+
+
+@query(
+    _FORECAST + f", e as (select station, {_ERRORS} from t where forecast is not null group by 1) select station, n, round(mae, 3) as mae, round(rmse, 3) as rmse, round(mae_persistence, 3) as mae_persistence,"
+    " round(rmse_persistence, 3) as rmse_persistence, round(1 - rmse * rmse / (rmse_persistence * rmse_persistence), 5) as skill from e"
+)
+def forecast_errors(spark, d):
+    """How far the forecasts are off, beside those that say tomorrow is as today."""
+    f, lagged = _forecasts(spark, d)
+    told = analysis.forecast_errors(f.join(lagged.select("station", "date", F.col("level_lag1").alias("previous")), ["station", "date"]), ["station"])
+    return told.select("station", "n", *[F.round(c, 3).alias(c) for c in ("mae", "rmse", "mae_persistence", "rmse_persistence")], F.round("skill", 5).alias("skill"))
+
+
 # --- files -----------------------------------------------------------------------------------------------------------
 
 _SAME = f"select event_id, station, sensor, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as ts, value from {E}"
