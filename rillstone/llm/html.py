@@ -85,13 +85,24 @@ class Block:
     links: float
 
 
+#: Names that speak of looks, such as text-xs or col-md-4: they say nothing about the content.
+_LOOKS = re.compile(
+    r"(?:text|font|bg|border|content|body)-(?:\d*[a-z]{2}|base|left|right|center|justify|start|end|muted|white|black|light|dark|bold|normal|italic|primary|secondary|small|large|(?:[a-z]+-)?\d+|[a-z]+-(?:xs|sm|md|lg|xl))"
+    r"|(?:col|row|grid|flex|container|order|offset|gap|space|rounded|shadow)(?:-.*)?|[mpwh][trblxy]?-.*"
+)
+
+
 def _kinds(attrs: str) -> tuple[str, ...]:
+    """What an element's names say. A name is judged as a whole: one of looks says nothing, and one that speaks of something beside the main text,
+    such as page-footer or post-comments, says only that."""
     found = []
     for m in _ATTR.finditer(attrs):
-        for word in _SPLIT.split((m[2] or m[3] or m[4] or "").lower()):
-            if word in _NAMED and _NAMED[word] not in found:
-                found.append(_NAMED[word])
-    return tuple(found)
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            if _LOOKS.fullmatch(name):
+                continue
+            own = [_NAMED[word] for word in _SPLIT.split(name) if word in _NAMED]
+            found += [k for k in own if k != "main" or not set(own) - {"main"}]
+    return tuple(dict.fromkeys(found))
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -225,20 +236,25 @@ def features(found: list[Block]) -> list[list[str]]:
         if up & {"article", "main"} or "main" in said:
             row.append("inside")
             if "plain" in row:
-                row.append("inside+plain")
+                row += ["inside+plain", f"inside+plain+tag={tag}"]
         if tag in heads:
             row.append("head")
             if "header" in up:
                 row.append(f"head+header={'inside' in row}")
         if k < 0.1 * n:
-            row.append("early")
+            row.append(f"early={'inside' in row}{'plain' in row}")
         if k >= 0.9 * n:
-            row.append("late")
+            row.append(f"late={'inside' in row}{'plain' in row}")
         low = b.text.lower()
         if any(x in low for x in RIGHTS):
             row += ["rights", f"rights+size={size}"]
         if n == 1:
             row.append("only")
+        follows = found[k + 1].at if k + 1 < n else None
+        then = "end" if follows is None else "form" if follows.up & {"form", "label", "button", "select"} else "links" if found[k + 1].links > 0.5 else "text"
+        row += [f"then={then}", f"then+tag={then}{tag}"]
+        if "plain" in row and b.at.up & {"ul", "ol", "table"}:
+            row.append(f"listed+link={link}")
         before = "head" if tag in heads else tag
         rows.append(row)
     return rows
@@ -351,7 +367,7 @@ def training_page(rng: random.Random) -> list[tuple[str, int]]:
 
     def head() -> None:
         tag("<header>")
-        if rng.random() < 0.3:
+        if rng.random() < 0.5:
             name = rng.choice(["h1", "h1", "h2"])
             tag(f"<{name}>")
             say(words(1, 5), 0)
@@ -385,6 +401,27 @@ def training_page(rng: random.Random) -> list[tuple[str, int]]:
 
         wrapped([("section", "comment"), ("div", "comment"), ("ul", "comment"), ("aside", "comment")], fill)
 
+    looks = lambda: f' class="{rng.choice(["text-xs", "col-md-4", "mt-4 p-2", "text-muted small", "row", "col-3", "flex gap-2", "wrap", "x9"])}"'
+
+    def rail() -> None:
+        """A column beside the text, told by its heading and what follows alone."""
+        tag(f"<div{looks()}>")
+        for _ in range(rng.randint(1, 2)):
+            name = rng.choice(["h3", "h4", "h4", "h5", "strong"])
+            tag(f"<{name}>" if name != "strong" else "<p><strong>")
+            say(words(1, 3), 0)
+            tag(f"</{name}>" if name != "strong" else "</strong></p>")
+            form() if rng.random() < 0.5 else links(2, 6)
+        tag("</div>")
+
+    def tail() -> None:
+        """Short words after the text, without links or names."""
+        for _ in range(rng.randint(1, 2)):
+            name = rng.choice(["div", "div", "p", "small"])
+            tag(f"<{name}{looks()}>")
+            say(rng.choice([words(1, 5).title(), words(2, 4) + " | " + words(1, 3), words(1, 2) + " · " + words(1, 2)]), 0)
+            tag(f"</{name}>")
+
     def rights() -> str:
         year = f"{rng.randint(1990, 2030)} "
         return rng.choice(["&copy; ", "© ", "(c) ", "Copyright ", "Copyright © "]) + year + words(1, 6) + rng.choice([". All rights reserved.", "", ". Alle Rechte vorbehalten.", " - Todos los derechos reservados", ". Tous droits réservés."])
@@ -411,7 +448,7 @@ def training_page(rng: random.Random) -> list[tuple[str, int]]:
             if r < 0.7:
                 name = rng.choice(plain)
                 tag(f"<{name}>" + rng.choice(["", "", "", "<b>", "<span>"]))
-                say(sentence(40, 120) + " " + rng.choice(["Copyright", "All rights reserved", "copyright"]) + " " + sentence(10, 30) if rng.random() < 0.02 else sentence(1, 120), 1)
+                say(sentence(40, 120) + " " + rng.choice(["Copyright", "All rights reserved", "copyright"]) + " " + sentence(10, 30) if rng.random() < 0.02 else words(2, 8).capitalize() if rng.random() < 0.15 else sentence(1, 120), 1)
                 if rng.random() < 0.2:
                     tag('<a href="/y">')
                     say(words(1, 3), 1)
@@ -423,15 +460,29 @@ def training_page(rng: random.Random) -> list[tuple[str, int]]:
                 say(words(1, 8), 1)
                 tag(f"</{name}>")
             elif r < 0.87:
-                tag("<ul>")
-                for _ in range(rng.randint(1, 5)):
+                name = rng.choice(["ul", "ul", "ol"])
+                tag(f"<{name}>")
+                bare = rng.random() < 0.5
+                for _ in range(rng.randint(1, 6)):
                     tag("<li>")
-                    say(sentence(1, 25), 1)
-                tag("</ul>")
+                    say(words(1, 12) if bare else sentence(1, 25), 1)
+                    if rng.random() < 0.1:
+                        tag('<a href="/z">')
+                        say(words(1, 2), 1)
+                        tag("</a>")
+                    tag(rng.choice(["</li>", ""]))
+                tag(f"</{name}>")
             elif r < 0.9:
-                name = rng.choice(["<table><tr><td>", "<pre>", "<figure><figcaption>"])
+                name = rng.choice(["<table>", "<pre>", "<figure><figcaption>"])
                 tag(name)
-                say(sentence(1, 20), 1)
+                if name == "<table>":
+                    for row in range(rng.randint(1, 4)):
+                        tag("<tr>")
+                        for _ in range(2):
+                            tag("<th>" if row == 0 else "<td>")
+                            say(words(1, 4) if rng.random() < 0.7 else sentence(1, 20), 1)
+                else:
+                    say(sentence(1, 20), 1)
                 tag("</table>" if "table" in name else "</pre>" if "pre" in name else "</figcaption></figure>")
             else:
                 rng.choice([ad, share, side, notice, form])()
@@ -446,28 +497,39 @@ def training_page(rng: random.Random) -> list[tuple[str, int]]:
         return out
 
     tag("<html><head><title>x</title><style>p{}</style><script>var a='</p>';</script></head><body>")
+    if rng.random() < 0.08:  # laid out by a table
+        tag(rng.choice(["<table><tr><td>", '<table width="100%"><tbody><tr><td colspan="2">', "<center><table><tr><td>"]))
+        rng.choice([lambda: links(2, 6), lambda: say(words(1, 4), 0), nav])()
+        tag("</td></tr><tr><td>")
+        if rng.random() < 0.5:
+            rng.choice([lambda: links(3, 8), rail])()
+            tag("</td><td>")
+        article()
+        tag("</td></tr><tr><td>")
+        say(rights(), 0) if rng.random() < 0.7 else tail()
+        tag("</td></tr></table></body></html>")
+        return out
     for part in (notice, head, nav, ad, side, form, lambda: links(2, 6)):
         if rng.random() < 0.4:
             part()
     kind = rng.random()
-    if kind < 0.5:
-        tag(rng.choice(["<article>", "<main><article>", '<article class="post">']))
-    elif kind < 0.65:
-        tag(rng.choice(["<main>", '<main id="content">']))
-    elif kind < 0.95:
-        tag(f"<div{named('main')}>")
+    if kind < 0.4:
+        start, end = rng.choice([("<article>", "</article>"), ("<main><article>", "</article></main>"), ('<article class="post">', "</article>")])
+    elif kind < 0.55:
+        start, end = rng.choice(["<main>", '<main id="content">']), "</main>"
     else:
-        tag("<div>")
+        start, end = f"<div{named('main') if kind < 0.8 else looks() if rng.random() < 0.7 else ''}>", "</div>"
+    tag(start)
     article()
     if rng.random() < 0.25:
         comments()
-    tag({True: "</article>", False: "</main>"}[kind < 0.5] if kind < 0.65 else "</div>")
-    for part in (ad, side, share, form, comments, notice, nav):
+    tag(end)
+    for part in (ad, side, share, form, comments, notice, nav, rail, tail):
         if rng.random() < 0.3:
             part()
-    if rng.random() < 0.85:
+    if rng.random() < 0.7:
         footer()
-    elif rng.random() < 0.8:
+    elif rng.random() < 0.9:
         name = rng.choice(["div", "p", "small", "center", "address"])
         tag(f"<{name}>")
         say(rights(), 0)
@@ -476,7 +538,7 @@ def training_page(rng: random.Random) -> list[tuple[str, int]]:
     return out
 
 
-def training_pages(n: int = 400, seed: int = 11) -> list[tuple[list[list[str]], list[int]]]:
+def training_pages(n: int = 600, seed: int = 11) -> list[tuple[list[list[str]], list[int]]]:
     """Features and labels of the blocks of n labelled pages. A block's label is told by a mark put at each labelled text."""
     rng = random.Random(seed)
     pages = []
@@ -493,7 +555,7 @@ def training_pages(n: int = 400, seed: int = 11) -> list[tuple[list[list[str]],
 
 
 @functools.cache
-def chain(pages: int = 400, seed: int = 11) -> Chain:
+def chain(pages: int = 600, seed: int = 11) -> Chain:
     return train(training_pages(pages, seed))
 
 

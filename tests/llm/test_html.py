@@ -74,10 +74,25 @@ LAYOUTS = [  # written by hand, not by the generator: page, its main text
     ("<nav><a href=/>Home</a> <a href=/a>About</a></nav><article><h2>News</h2><p>Something happened in the town today, people said.</p></article><div>© 2020 Town Paper</div>", "News Something happened in the town today, people said."),
     ("<div class=cookie-banner>We use cookies. <button>OK</button></div><main><p>Ein Satz steht hier, und er ist lang genug.</p><aside>Related: other things</aside><p>Noch ein Satz.</p></main><footer>Impressum</footer>", "Ein Satz steht hier, und er ist lang genug. Noch ein Satz."),
     ("<div id=content><p>One paragraph tells about copyright law and why it was made, at some length, so that nobody takes it for a notice at the foot of a page, which it is not.</p></div>", "One paragraph tells about copyright law and why it was made, at some length, so that nobody takes it for a notice at the foot of a page, which it is not."),
+    ("<div class='wrap'><h1>A plain title</h1><p>The first paragraph introduces a list of things.</p><ul><li>point one of the list</li><li>point two</li></ul><p>The last paragraph ends the page.</p></div>", "A plain title The first paragraph introduces a list of things. point one of the list point two The last paragraph ends the page."),
+    ("<table><tr><td><a href=/>Home</a> <a href=/n>News</a></td></tr><tr><td><h1>Old layout</h1><p>This page was made long ago, and it still works well.</p><p>Nobody has changed it since then.</p></td></tr><tr><td>Copyright 2020 X. All rights reserved.</td></tr></table>", "Old layout This page was made long ago, and it still works well. Nobody has changed it since then."),
+    ("<div class='row'><div class='col-md-8'><h1>Reading</h1><p>A long text stands in the wide column of the page.</p><p>It has two paragraphs, both of them are kept.</p></div><div class='col-md-4'><h4>Newsletter</h4><form><label>Your mail</label><button>Send</button></form></div></div>", "Reading A long text stands in the wide column of the page. It has two paragraphs, both of them are kept."),
+    ("<main><h1>The story</h1><p>It was told by many people over the years.</p></main><div class='text-xs'>Terms Privacy Contact</div>", "The story It was told by many people over the years."),
+    ("<div class='page-header'>My site, the best there is</div><div class='content'><h2>Bread</h2><p>Mix flour and water, then wait for an hour.</p><ol><li>Knead it well</li><li>Bake it for forty minutes</li></ol></div><div class='page-footer'>Made with love in Rome</div>", "Bread Mix flour and water, then wait for an hour. Knead it well Bake it for forty minutes"),
+    ("<div class='container'><div class='text-center mt-4'><h1>Opening hours</h1><p>We open at nine in the morning, every day but Sunday.</p></div></div><footer><p>© 2022 Shop</p></footer>", "Opening hours We open at nine in the morning, every day but Sunday."),
+    ("<nav class='main-nav'><ul><li><a href=/>Start</a></li><li><a href=/b>Blog</a></li></ul></nav><div class='post-body'><p>Heute war ein guter Tag, die Sonne schien lange.</p><blockquote>Ein Zitat steht hier in der Mitte.</blockquote></div><div class='post-comments'><p>Danke für den Text, sehr schön!</p></div>", "Heute war ein guter Tag, die Sonne schien lange. Ein Zitat steht hier in der Mitte."),
+    ("<article><h1>Prices</h1><p>The table below shows what things cost this year.</p><table><tr><th>Thing</th><th>Price</th></tr><tr><td>Apples</td><td>3 euros</td></tr></table></article><aside><h3>More</h3><ul><li><a href=/1>One</a></li></ul></aside>", "Prices The table below shows what things cost this year. Thing Price Apples 3 euros"),
+    ("<body><div id='top-banner'>Big sale today only!</div><div><h2>Rivers</h2><p>A river carries water from the hills to the sea.</p><h3>Floods</h3><p>When it rains for days, rivers rise and fields are flooded.</p></div><div class='social-share'>Share this page</div></body>", "Rivers A river carries water from the hills to the sea. Floods When it rains for days, rivers rise and fields are flooded."),
     ('<header><h1>Site</h1></header><div class="post"><h1>Post</h1><p>Text of the post, in full sentences.</p></div><div class="comments"><div class="comment"><p>Great post, thanks for it!</p></div></div>', "Post Text of the post, in full sentences."),
 ]
 
 
+def test_names_are_judged_whole():
+    kinds = lambda x: html._kinds(f' class="{x}"')
+    assert [kinds(x) for x in ("text-xs", "col-md-4 text-muted mt-4", "page-footer", "post-comments", "main-nav")] == [(), (), ("footer",), ("comment",), ("nav",)]
+    assert [kinds(x) for x in ("text", "article-body", "post page-footer", "entry-content")] == [("main",), ("main",), ("main", "footer"), ("main",)]
+
+
 @pytest.mark.parametrize("page, text", LAYOUTS)
 def test_layouts_from_outside_the_generator(model, page, text):
     assert html.main_text(page, model) == text
