@@ -9,16 +9,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def pairs_at_lags(dense: DataFrame, date: str, cause: str, effect: str, lags: Sequence[int], groups: Sequence[str] = ()) -> DataFrame:
-    """(lag, x, y): effect on a day and cause so many days before, by an equi-join on the shifted day."""
-    right = dense.select(*groups, F.col(date), F.col(effect).alias("y"))
-    left = dense.select(*groups, F.explode(F.array(*[F.lit(int(k)) for k in lags])).alias("lag"), F.col(date), F.col(cause).alias("x"))
-    left = left.withColumn(date, F.date_add(date, F.col("lag")))
-    return left.join(right, [*groups, date]).filter("x is not null and y is not null")
+    """(lag, x, y): effect on a day and cause so many days before, of a gap-filled series (a row a day). Each lag is a window column over
+    the same order, so one shuffle serves any number of lags, and the pairs are laid out only after it."""
+    w = Window.partitionBy(*groups).orderBy(date)
+    ago = [F.struct(F.lit(int(k)).alias("lag"), (F.lag(cause, k) if k >= 0 else F.lead(cause, -k)).over(w).alias("x")) for k in lags]
+    rows = dense.select(*groups, date, F.col(effect).alias("y"), F.array(*ago).alias("ago"))
+    pairs = rows.filter("y is not null").select(*groups, F.explode("ago").alias("a"), "y").select(*groups, "a.lag", "a.x", "y")
+    return pairs.filter("x is not null")
 
 
 def lag_correlation(pairs: DataFrame) -> DataFrame:

@@ -227,6 +227,27 @@ def classify_outliers(flagged: DataFrame, ts: str, groups: Sequence[str], tie: S
     return met.withColumn("__near", near).drop("__before", "__after").withColumn("outlier_class", F.when(~F.col("is_outlier"), "normal").when(F.col("__near"), "event").otherwise("suspect")).drop("__near")
 
 
+#: log2 of the registers of a sketch; the standard error of an estimate is 1.04 / sqrt(2 ** LG), 1.6 %, and counts below some hundreds are all but exact.
+LG = 12
+
+
+def distinct_sketches(df: DataFrame, ts: str, value: str, groups: Sequence[str] = (), lg: int = LG) -> DataFrame:
+    """groups, date, sketch: which values a group had on each day, as a HyperLogLog sketch of fixed size. Rows without a time and null values are left out."""
+    days = df.select(*groups, F.to_date(ts).alias("date"), F.col(value).alias("__v")).filter("date is not null and __v is not null")
+    return days.groupBy(*groups, "date").agg(F.hll_sketch_agg("__v", lg).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One sketch per key for all given: those of late data and those stored, or those of the days of a span."""
+    return sketches.groupBy(*keys).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def distinct_between(sketches: DataFrame, first, last, groups: Sequence[str] = ()) -> DataFrame:
+    """groups, n: about how many distinct values there were from day first to day last, from the stored sketches alone; any days may be asked for."""
+    span = sketches.filter(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return merged_sketches(span, groups).filter("sketch is not null").select(*groups, F.hll_sketch_estimate("sketch").alias("n"))
+
+
 def describe(df: DataFrame, filled: bool = False) -> DataFrame:
     """The schema as rows: position, name, type; if asked, with the number of values that aren't null, from one scan."""
     fields = list(df.schema)

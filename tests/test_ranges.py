@@ -87,3 +87,17 @@ def test_frequency_reads_the_readings_twice(spark):
         assert files and all("rillstone/" in f for f in files)
     assert found["coverage"].first()["n"] == 4 and found["cadence"].first()["median_gap"] == 10.0
     step.clear()
+
+
+def test_sketches_of_days_answer_any_span(spark):
+    """Within three standard errors of the exact number; the union of parts is as good as one sketch of all."""
+    df = spark.range(400_000).select((F.col("id") % 3).alias("g"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 10 * 86_400).alias("t"), (F.col("id") * 7 % 90_000).alias("v"))
+    df = df.unionByName(spark.createDataFrame([(0, None, 5), (1, None, None)], df.schema))
+    s = profile.distinct_sketches(df, "t", "v", ["g"])
+    first = df.agg(F.min(F.to_date("t"))).first()[0]
+    for a, b in ((0, 9), (2, 4)):
+        exact = {r.g: r.n for r in df.filter(F.datediff("t", F.lit(first)).between(a, b)).groupBy("g").agg(F.count_distinct("v").alias("n")).collect()}
+        days = [f"date_add(date'{first}', {x})" for x in (a, b)]
+        got = {r.g: r.n for r in profile.distinct_between(s, *map(F.expr, days), ["g"]).collect()}
+        assert got.keys() == exact.keys() and all(abs(got[g] - n) <= 3 * 1.04 / 2 ** (profile.LG / 2) * n for g, n in exact.items())
+    assert profile.distinct_between(s, "1999-01-01", "1999-01-02", ["g"]).count() == 0 and profile.distinct_between(s, "1999-01-01", "1999-01-02").first()["n"] == 0
