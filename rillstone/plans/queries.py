@@ -21,7 +21,7 @@ from rillstone.functions import scalars as S
 from rillstone.operators import analysis, calendar, dedupe, profile, report, series, shape, star
 from rillstone.plans import chain
 from rillstone.shared import Scratch, materialize, new_path, table
-from rillstone.sources import ledger, readers, sinks
+from rillstone.sources import ledger, readers, sinks, zips
 from rillstone.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1030,7 +1030,7 @@ def roundtrip_csv_comment(spark, d):
     return _typed(readers.csv(spark, path, _TEXT, comment="#", header=False))
 
 
-def _unzipped(spark, d) -> DataFrame:
+def _zips(spark, d) -> str:
     """A zip file per thousand readings: a preamble, a header, latin-1 lines; every fourth is cut off."""
     e = landed(spark, d)
     line = F.concat_ws(";", *[F.col(c).cast("string") for c in e.columns])
@@ -1052,7 +1052,18 @@ def _unzipped(spark, d) -> DataFrame:
     # a file an archive; the text sink writes the bytes as they are and ends a file with a line feed, which readers of archives skip
     content = F.when(F.col("path") % 4 == 3, F.substring("content", 1, 100)).otherwise(F.col("content"))
     texts.mapInArrow(zipped, "path string, content binary").select(content.cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    return readers.unzip_lines(readers.archives(spark, path, "*.txt"))
+    return path
+
+
+def _unzipped(spark, d) -> DataFrame:
+    return readers.unzip_lines(readers.archives(spark, _zips(spark, d), "*.txt"))
+
+
+@query(_SAME + " where event_id // 1000 % 4 <> 3")
+def roundtrip_zip_members(spark, d):
+    """As roundtrip_zip, with members streamed from the store by a data source."""
+    paths = [r["file"] for r in readers.stats(spark, _zips(spark, d), "*.txt").collect()]
+    return _typed(readers.after_header(zips.zip_lines(spark, paths), "event_id", landed(spark, d).columns))
 
 
 @query(_SAME + " where event_id // 1000 % 4 <> 3")

@@ -258,3 +258,40 @@ def test_a_failed_replace_leaves_the_old_rows(spark):
     sinks.replace(spark.table("rp_gold.p").filter("d = 1"), "rp_gold.p")
     assert sorted(r.id for r in spark.table("rp_gold.p").filter("d = 1").collect()) == [1, 3] and spark.table("rp_gold.p").count() == 2
     spark.sql("DROP DATABASE rp_gold CASCADE")
+
+
+def test_streamed_archives_are_the_same(spark, tmp_path):
+    """Members as partitions give what whole archives in rows give, damaged ones too."""
+    from rillstone.sources import zips
+
+    for name in ("good", "bad", "more"):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w", zipfile.ZIP_STORED) as z:
+            z.writestr("d.csv", "Ünlü\r\nk;v\n" + "".join(f"{i};{name}\n" for i in range(25_000)), zipfile.ZIP_DEFLATED if name == "more" else None)
+            z.writestr("e.CSV", f"k;v\n7;{name}-e\n")
+            z.writestr("none.txt", "x")
+    whole = (tmp_path / "bad.zip").read_bytes()
+    (tmp_path / "bad.zip").write_bytes(whole.replace(b"24999;bad", b"24999;bAd", 1))
+    (tmp_path / "broken.zip").write_bytes(b"nothing")
+    old = readers.unzip_lines(readers.archives(spark, str(tmp_path)))
+    paths = [r.file for r in readers.stats(spark, str(tmp_path), "*.zip").collect()]
+    new = zips.zip_lines(spark, paths)
+    assert new.rdd.getNumPartitions() == 7 and new.count() > 74_000
+    assert dedupe.same_bag(old, new, old.columns).first()["equal"]
+    assert zips.zip_lines(spark, []).count() == 0
+
+
+def test_streamed_archives_take_little_memory(tmp_path):
+    """A member of 60 MB is read with a few MB."""
+    import tracemalloc
+
+    from rillstone.sources import zips
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z, z.open("big.csv", "w") as f:
+        for _ in range(600):
+            f.write(b"0123456789;abcdefghi\n" * 5000)
+    reader = zips.Reader([str(tmp_path / "a.zip")], ".csv", "latin-1")
+    (part,) = reader.partitions()
+    tracemalloc.start()
+    assert sum(b.num_rows for b in reader.read(part)) == 3_000_000
+    assert tracemalloc.get_traced_memory()[1] < 12e6
+    tracemalloc.stop()
