@@ -49,7 +49,9 @@ class Reader(DataSourceReader):
                 out.append(Member(path, None))
         return out
 
-    def read(self, partition: Member) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Member | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no archives
+            return
         if partition.name is None:
             yield _batch([(partition.path, None, None, None, "no archive")])
             return
