@@ -230,12 +230,17 @@ def fit(
     return model
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with a score of each whole text, from 0 to 1."""
+def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """row, a struct of all columns of docs, and the score of each whole text, from 0 to 1; so no column of docs is in the way."""
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(texts.tolist()))
 
-    return docs.withColumn(name, score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return docs.select(F.struct(F.col("*")).alias("row"), score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("score"))
+
+
+def keep(docs: DataFrame, model: Model, text_col: str = "text", cut: float = CUT) -> DataFrame:
+    """The rows of docs, with all their columns, whose score reaches the cut."""
+    return scored(docs, model, text_col).filter(F.col("score") >= cut).select("row.*")

@@ -34,7 +34,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    told = quality.scored(docs, model)
+    told = quality.scored(docs, model).select("row.doc_id", "score")
     return told.select(
         "doc_id", (~quality.learnable()).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted")
     )

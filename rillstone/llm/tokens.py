@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
+ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 _WORDS = 3  # a key has so many times 8 bytes; longer chunks are kept in a plain table
 _CACHED = 64  # longest chunk that is kept there
 _GROUP = 1 << 18  # characters of texts, or of a part of a text, that are cut at once

@@ -38,8 +38,18 @@ def test_scores_depend_on_the_text_alone_and_repeat(spark):
     a, b = quality.fit(docs, lab), quality.fit(docs.repartition(5), lab)
     texts = [None, "", "The and of. " * 30, "A!! B!! " * 30, "x" * 50_000]
     assert np.allclose(a.score(texts), b.score(texts)) and a.score(texts)[0] == a.score(texts)[1]
-    scored = quality.scored(edge(spark), a, name="s2")
-    assert scored.count() == 11 and scored.filter("s2 is null").count() == 0 and quality.scored(empty(spark), a).count() == 0
+    scored = quality.scored(edge(spark), a)
+    assert scored.count() == 11 and scored.filter("score is null").count() == 0 and quality.scored(empty(spark), a).count() == 0
+
+
+def test_columns_of_the_same_name_are_carried(spark):
+    """A column that is called score, or as a helper, comes back as it was."""
+    model = quality.fit(real(spark), labels(spark))
+    df = edge(spark).withColumn("rillstone_score", F.lit("mine")).withColumn("row", F.lit("r"))
+    assert {(r.row.score, r.row.rillstone_score, r.row.row) for r in quality.scored(df, model).collect()} == {("s", "mine", "r")}
+    kept = quality.keep(df, model, cut=0.0)
+    assert kept.columns == df.columns and kept.count() == 11 and {r.score for r in kept.collect()} == {"s"}
+    assert quality.keep(df, model, cut=1.1).count() == 0
 
 
 def test_without_labels_scores_are_the_share(spark):
