@@ -183,9 +183,9 @@ with recursive t(crc) as (
 ), w as (
   select word, sum(n)::bigint as n from v where length(word) >= 6 group by 1 having sum(n) >= 5
 ), g as (
-  select word, n, unnest(list_distinct(list_prepend(word, list_transform(range(length(word)), lambda i: substr(word, 1, i) || substr(word, i + 2))))) as part from w
+  select word, n, unnest(list_prepend(word, list_transform(range(length(word)), lambda i: substr(word, 1, i) || substr(word, i + 2)))) as part, unnest(range(-1, length(word))) as at from w
 ), p as (
-  select distinct x.word, x.n, y.word as near, y.n as near_n from g x join g y on x.part = y.part and x.word <> y.word where levenshtein(x.word, y.word) = 1
+  select distinct x.word, x.n, y.word as near, y.n as near_n from g x join g y on x.part = y.part and x.word <> y.word where x.at = y.at or least(x.at, y.at) = -1
 ), f as (
   select word, n, count(near) as n_near, max(near_n) as best_n, min_by(near, (-near_n, near)) as best from (select w.word, w.n, near, near_n from w left join p using (word)) group by all
 ), s as (
