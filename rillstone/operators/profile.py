@@ -248,6 +248,24 @@ def distinct_between(sketches: DataFrame, first, last, groups: Sequence[str] = (
     return merged_sketches(span, groups).filter("sketch is not null").select(*groups, F.hll_sketch_estimate("sketch").alias("n"))
 
 
+def distinct_bitmaps(df: DataFrame, ts: str, value: str, groups: Sequence[str] = ()) -> DataFrame:
+    """groups, date, bucket, bitmap: which values (whole numbers) a group had on each day, exactly. A bitmap has a bit for each of the 32,768 values of
+    its bucket, so it suits ids that lie close to each other; for others there are sketches. Rows without a time and null values are left out."""
+    days = df.select(*groups, F.to_date(ts).alias("date"), F.col(value).cast("long").alias("__v")).filter("date is not null and __v is not null")
+    return days.groupBy(*groups, "date", F.bitmap_bucket_number("__v").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__v")).alias("bitmap"))
+
+
+def merged_bitmaps(bitmaps: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """As ``merged_sketches``; the keys hold the bucket."""
+    return bitmaps.groupBy(*keys).agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+
+
+def exact_between(bitmaps: DataFrame, first, last, groups: Sequence[str] = ()) -> DataFrame:
+    """groups, n: how many distinct values there were from day first to day last, from the stored bitmaps alone; any days may be asked for."""
+    span = bitmaps.filter(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return merged_bitmaps(span, [*groups, "bucket"]).groupBy(*groups).agg(F.sum(F.bitmap_count("bitmap")).alias("n")).filter("n is not null")
+
+
 def describe(df: DataFrame, filled: bool = False) -> DataFrame:
     """The schema as rows: position, name, type; if asked, with the number of values that aren't null, from one scan."""
     fields = list(df.schema)

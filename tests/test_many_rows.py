@@ -41,3 +41,9 @@ def same_on(spark, made, name):
 @pytest.mark.parametrize("name", ["medallion_chain", "chain_late", "chain_rows"])
 def test_chain_on_readings_of_one_key_and_second(spark, grown, name):
     same_on(spark, grown(MORE), name)
+
+
+def test_distinct_spans_of_many_stations(spark, grown):
+    """Stations below 0, in several bitmaps and beyond 32 bits."""
+    got = same_on(spark, grown(f"select event_id + i * 10000 as event_id, ts, (user_id + i * 1000) * (case i % 3 when 0 then 1 when 1 then -7 else 30000000 end) as user_id, event_type, value, props from '{SF}/events.parquet', range(200) t(i)"), "distinct_spans")
+    assert max(int(r[2]) for r in got) > 2000
