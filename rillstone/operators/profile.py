@@ -70,16 +70,19 @@ def gaps_by_day(df: DataFrame, ts: str, groups: Sequence[str] = (), tie: Sequenc
 
 #: Rows of a range: what one task sorts, however many a group has.
 RANGE_ROWS = 1_000_000
+#: So many ranges at most while each holds no more than RANGE_ROWS, as every task of a shuffle writes a block for each.
+RANGES = 400
 
 
 def with_neighbours(df: DataFrame, groups: Sequence[str], order: Sequence[str], before: Mapping[str, str] = {}, after: Mapping[str, str] = {}, rows: int = RANGE_ROWS) -> DataFrame:
     """df with columns of the row before (new name -> column) and of the row after, in the order within each group.
 
-    Rows are parted into ranges of groups and order, of about ``rows`` each, so a group that holds much of the table is spread over tasks. Within
+    Rows are parted into ranges of groups and order, of about ``rows`` each (more where there would be over ``RANGES`` of them), so a group that holds much of the table is spread over tasks. Within
     a range neighbours are a window; a range's first row takes what is before from the last row of the group's range before, found among a row per
     group and range, and its last row likewise. A table of one range needs neither. Rows that agree in groups and order
     stay together, so the order should have a tie-break; nulls come first."""
-    count = -(-df.count() // rows)
+    total = df.count()
+    count = min(-(-total // rows), max(RANGES, -(-total // RANGE_ROWS)))
     if count <= 1:
         w = Window.partitionBy(*groups).orderBy(*order)
         return df.withColumns({**{n: F.lag(c).over(w) for n, c in before.items()}, **{n: F.lead(c).over(w) for n, c in after.items()}})

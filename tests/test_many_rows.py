@@ -47,3 +47,22 @@ def test_distinct_spans_of_many_stations(spark, grown):
     """Stations below 0, in several bitmaps and beyond 32 bits."""
     got = same_on(spark, grown(f"select event_id + i * 10000 as event_id, ts, (user_id + i * 1000) * (case i % 3 when 0 then 1 when 1 then -7 else 30000000 end) as user_id, event_type, value, props from '{SF}/events.parquet', range(200) t(i)"), "distinct_spans")
     assert max(int(r[2]) for r in got) > 2000
+
+
+def test_ranges_stay_few(spark, monkeypatch):
+    """However few rows a range is to hold, a large table isn't parted into a range for every few."""
+    from rillstone.operators import profile
+
+    monkeypatch.setattr(profile, "RANGES", 3)
+    seen, real = [], profile.materialize
+    monkeypatch.setattr(profile, "materialize", lambda df, name: seen.append(df.select("__range").distinct().count()) or real(df, name))
+    got = profile.with_neighbours(spark.range(1000).selectExpr("id", "id % 2 as g"), ["g"], ["id"], {"b": "id"}, {"a": "id"}, rows=5).collect()
+    assert seen == [3]
+    assert all(r.b == (r.id - 2 if r.id > 1 else None) and r.a == (r.id + 2 if r.id < 998 else None) for r in got) and len(got) == 1000
+
+
+def test_arrays_by_line(spark, tmp_path):
+    from rillstone.sources import readers
+
+    (tmp_path / "a.txt").write_text('[{"a":1}, {"a":2}]\n\n[{"a":3}\n[]\n')
+    assert sorted(r.raw for r in readers.landed_arrays(spark, str(tmp_path), by_line=True).collect()) == ['[{"a":3}', '{"a":1}', '{"a":2}']
