@@ -38,10 +38,11 @@ def landed_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _raw(spark.read.text(path))
 
 
-def landed_arrays(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def landed_arrays(spark: SparkSession, path: str | list[str], by_line: bool = False) -> DataFrame:
     """file, raw: the elements of files that hold a JSON array each, as JSON without the spaces between. A file that holds none, as one
-    that is cut off, is one row: its whole text, as it is. A file is read by one task."""
-    files = _raw(spark.read.option("wholetext", True).text(path))
+    that is cut off, is one row: its whole text, as it is. A file is read by one task. With ``by_line`` the same holds of every line
+    of the files, which are then splittable."""
+    files = _raw(spark.read.option("wholetext", not by_line).text(path))
     whole = F.from_json("raw", "array<string>", {"mode": "PERMISSIVE"})
     listed = F.when(F.regexp_like("raw", F.lit(r"^\s*+\[")) & F.try_parse_json("raw").isNotNull(), whole)
     return files.select("file", F.explode(F.coalesce(listed, F.array("raw"))).alias("raw"))
