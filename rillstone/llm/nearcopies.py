@@ -9,7 +9,8 @@ entered under its first n / 5, which covers smaller partners too. So every simil
 puts shingles that are frequent in a sample of texts last: a passage that many texts hold falls behind a text's own words, and sets meet at it only if
 they have hardly any. Another sample gives the same pairs.
 
-Work goes by distinct set: copies are one class whatever their number. Where at most ``SMALL`` sets meet, all pairs that
+Work goes by distinct set: copies are one class whatever their number. Sets whose SimHash fingerprints lie within op4's radius, found by its covering
+masks, are candidates first. A similarity of 0.8 may leave fingerprints further apart, so the sets' own masks find the rest. Where at most ``SMALL`` sets meet, all pairs that
 can still be similar are candidates. Where more meet, each is first compared with one of them; then pairs of sets that no
 chain of links joins yet are compared, by blocks of rows spread over tasks, unless the parities of their shingles by places differ in more
 places than the sets may in shingles. Candidates pass the same parities, and are then verified on the whole sets, which are
@@ -28,8 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillstone.llm import simhash
 from rillstone.llm.components import components
-from rillstone.llm.simhash import without
 from rillstone.llm.store import Scratch, bounded_batches, join_split, materialize, small
 
 WIDTH = 5
@@ -38,9 +39,9 @@ SMALL = 8
 SAMPLE, OFTEN, LISTED = 10_000, 5, 100_000
 BLOCK, SPREAD = 64, 16
 PAIRS = 1000
-BITS, BRIEF = 512, 4096
+BITS, BRIEF = 512, 1 << 15
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_PRINTS = "doc_id long, text_hash long, sig long, n int, bits binary, brief binary, cold int, keys array<long>"
+_PRINTS = "doc_id long, text_hash long, sig long, n int, bits binary, brief binary, fp long, cold int, keys array<long>"
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -85,6 +86,12 @@ def parities(found: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=size) & 1).astype(bool)).tobytes()
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a set, as a signed long: a bit is 1 if more than half the shingles set it."""
+    ones = np.unpackbits(found.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(found)).tobytes(), "big", signed=True)
+
+
 def folded(bits: memoryview | bytes, size: int) -> np.ndarray:
     """Parities over fewer places, as words of 64 bits."""
     words = np.frombuffer(bits, np.uint64)
@@ -111,7 +118,7 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prints(texts: DataFrame) -> DataFrame:
-    """doc_id, text_hash, sig (a hash of the set), n (its size), bits (its parities), brief (over ``BRIEF`` places at most) and keys of every row, of
+    """doc_id, text_hash, sig (a hash of the set), n (its size), bits (its parities), brief (over ``BRIEF`` places at most), fp (its SimHash) and keys of every row, of
     which the first ``cold`` aren't listed."""
     shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts))
 
@@ -123,7 +130,7 @@ def _prints(texts: DataFrame) -> DataFrame:
             flat = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in each)]).view(np.int64)
             ends = pa.array(np.cumsum([0, *(len(k) for k, _ in each)]), pa.int32())
             bits = [parities(s) for s in sets]
-            columns = [b.column(0), b.column(1), pa.array(sig), pa.array([len(s) for s in sets], pa.int32()), pa.array(bits, pa.binary()), pa.array([folded(x, BRIEF).tobytes() for x in bits], pa.binary())]
+            columns = [b.column(0), b.column(1), pa.array(sig), pa.array([len(s) for s in sets], pa.int32()), pa.array(bits, pa.binary()), pa.array([folded(x, BRIEF).tobytes() for x in bits], pa.binary()), pa.array(list(map(fingerprint, sets)), pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in each], pa.int32()), pa.ListArray.from_arrays(ends, pa.array(flat))], names=[x.split()[0] for x in _PRINTS.split(", ")])
 
     return texts.mapInArrow(run, _PRINTS)
@@ -190,6 +197,17 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, into: Scra
     return found
 
 
+def _by_fingerprint(classes: DataFrame, step: Scratch) -> DataFrame:
+    """Pairs (a, b) of sets that op4's covering masks bring together: of fingerprints within its radius the least sets, and each set with the least of its fingerprint."""
+    heads = step.write(classes.groupBy("fp").agg(F.min("sig").alias("head"), F.count("*").alias("rows")), "heads")
+    pairs = simhash.links(heads.select("fp"), into=step)
+    for end in "ab":
+        pairs = pairs.join(heads.select(F.col("fp").alias(end), F.col("head").alias(f"head{end}")), end)
+    across = pairs.select(F.least("heada", "headb").alias("a"), F.greatest("heada", "headb").alias("b"))
+    same = join_split(classes.select("sig", "fp"), heads, "fp").filter("sig <> head").select(F.col("head").alias("a"), F.col("sig").alias("b"))
+    return across.unionByName(same)
+
+
 def _pairs(f: Column) -> Column:
     """Pairs of an array's sets that can be similar, the lesser sig first."""
     end = lambda x, y: F.struct(x["sig"].alias("a"), y["sig"].alias("b"))
@@ -280,7 +298,7 @@ def links(classes: DataFrame, met: DataFrame, texts: DataFrame, into: Scratch, m
     few = few.select(F.explode(_pairs(F.col("f"))).alias("l")).select("l.*")
     many = met.filter(F.col("m") > most)
     star = many.filter((F.col("sig") != F.col("head.sig")) & _may(F.col("head"), item)).select(F.least("head.sig", "sig").alias("a"), F.greatest("head.sig", "sig").alias("b"))
-    first = _verified(few.unionByName(star), classes, texts, into)
+    first = _verified(few.unionByName(star).unionByName(_by_fingerprint(classes, step)), classes, texts, into)
     reach = components(first, step)
     named = many.join(reach, F.col("sig") == F.col("node"), "left").select("key", "m", "sig", "n", "p", F.coalesce("component", "sig").alias("c"))
     named = step.write(named, "named")
@@ -301,7 +319,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     prints = step.write(_prints(texts), "prints")
     classes = prints.groupBy("sig").agg(
-        F.count("*").alias("rows"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("from"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("brief").alias("brief")
+        F.count("*").alias("rows"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("from"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("brief").alias("brief"), F.first("fp").alias("fp")
     )
     classes = step.write(classes, "classes")
     reach = components(links(classes, _met(prints), texts, step), step)
@@ -316,4 +334,4 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows of a component other than its smallest id, as ``simhash.drop_near`` has it."""
-    return without(docs, near_groups(docs, id_col, text_col), id_col, text_col)
+    return simhash.without(docs, near_groups(docs, id_col, text_col), id_col, text_col)

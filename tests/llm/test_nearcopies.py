@@ -73,3 +73,26 @@ def test_edges(spark):
     kept = nearcopies.drop_near(edge(spark))
     assert kept.columns == edge(spark).columns and {r.doc_id for r in kept.collect()} == {None, 1, 3, 5, 7}
     assert nearcopies.near_groups(empty(spark)).count() == 0
+
+
+def test_fingerprints_bring_near_copies_together(spark, tmp_path):
+    """Op4's masks find sets whose SimHash is within its radius, as a first stage of its own."""
+    from pyspark.sql import functions as F
+
+    base = [f"w{i}" for i in range(400)]
+    sets = [nearcopies.shingles(" ".join([*base[:k], "x", *base[k + 1 :]])) for k in range(10)] + [nearcopies.shingles(" ".join(f"v{i}" for i in range(300)))]
+    prints = [nearcopies.fingerprint(s) for s in sets]
+    classes = spark.createDataFrame(list(enumerate(prints)), "sig long, fp long")
+    got = nearcopies._by_fingerprint(classes, store.Scratch(spark))
+    bits = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count()
+    near = {(a, b) for a in range(11) for b in range(a + 1, 11) if bits(prints[a], prints[b]) <= 2}
+    assert near and not any(b == 10 for _, b in near)
+    assert {(r.a, r.b) for r in got.filter(F.col("a") < F.col("b")).collect()} <= near
+    assert {frozenset(x) for x in ((r.a, r.b) for r in got.collect())} == {frozenset((a, b)) for a, b in near if prints.index(prints[a]) == a and (prints[a] == prints[b] or prints.index(prints[b]) == b)}
+
+
+def test_parities_tell_long_texts_apart():
+    """Two texts of 12,000 words that share a fifth of them are no plausible pair in a block either."""
+    x, y = (nearcopies.shingles(" ".join(f"{p if i > 2400 else 'c'}{i}" for i in range(12_000))) for p in "ab")
+    bits = [nearcopies.folded(nearcopies.parities(s), nearcopies.BRIEF) for s in (x, y)]
+    assert int(nearcopies.np.bitwise_count(bits[0] ^ bits[1]).sum()) > nearcopies.radius(len(x), len(y))
