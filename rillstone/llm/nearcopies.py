@@ -21,6 +21,7 @@ Defined cases: as in ``simhash``; texts without words are equal sets.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +38,14 @@ WIDTH = 5
 NUM, DEN = 4, 5
 SMALL = 8
 SAMPLE, OFTEN, LISTED = 10_000, 5, 100_000
+PART, KNOWN = 4, 1_000_000
 BLOCK, SPREAD = 64, 16
 PAIRS = 1000
 BITS, BRIEF = 512, 1 << 15
+HELD = 1 << 23
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Shingles, ascending; places in the common order, after all shingles that aren't among them; above which place they are in so many sets that their rows are dealt out.
+Often = tuple[np.ndarray, np.ndarray, int]
 _PRINTS = "doc_id long, text_hash long, sig long, n int, bits binary, brief binary, fp long, cold int, keys array<long>"
 
 
@@ -68,15 +73,15 @@ def radius(a: int, b: int) -> int:
     return (a + b) * (DEN - NUM) // (DEN + NUM)
 
 
-def keys(found: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
-    """The shingles a set is entered under, in the common order, with the number of those before the first that is in ``often``."""
-    known, counts = often
+def keys(found: np.ndarray, often: Often, share: int = DEN) -> tuple[np.ndarray, int]:
+    """The shingles a set is entered under, the first ``share``-th part in the common order and one, with the number of those before the first that stands above ``often``'s floor."""
+    known, counts, floor = often
     times = np.zeros(len(found), np.int64)
     if len(known):
         i = np.minimum(np.searchsorted(known, found), len(known) - 1)
         times = np.where(known[i] == found, counts[i], 0)
-    first = np.lexsort((_mixed(found), times))[: len(found) * (DEN - NUM) // DEN + 1]
-    return found[first], int((times[first] == 0).sum())
+    first = np.lexsort((_mixed(found), times))[: len(found) * (DEN - NUM) // share + 1]
+    return found[first], int((times[first] <= floor).sum())
 
 
 def parities(found: np.ndarray) -> bytes:
@@ -100,26 +105,48 @@ def folded(bits: memoryview | bytes, size: int) -> np.ndarray:
     return words
 
 
-def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles, ascending, and counts of those in at least ``OFTEN`` of about ``SAMPLE`` texts; the ``LISTED`` most frequent."""
+def brief(bits: bytes, n: int) -> bytes:
+    """Parities of a set of n shingles over n to 2 * n places (``BRIEF`` at most): enough to tell sets apart that share half."""
+    return folded(bits, min(BRIEF, max(BITS // 2, 1 << n.bit_length()))).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t).view(np.int64))], names=["key"])
+
+def _frequent(texts: DataFrame) -> Often:
+    """Shingles, ascending, and counts of those in at least ``OFTEN`` of about ``SAMPLE`` texts; the ``LISTED`` most frequent. Below them, where that is a smaller sample,
+    those which stand at the front of ``OFTEN`` sets in every ``PART``-th text; the ``KNOWN`` most frequent. So a key that isn't known is in few sets however many texts there are."""
+
+    def counted(part: int, most: int, often: Often | None) -> tuple[np.ndarray, np.ndarray]:
+        shared = texts.sparkSession.sparkContext.broadcast(often)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for t in b.column(0).to_pylist():
+                    found = shingles(t)
+                    if shared.value is not None:
+                        first, cold = keys(found, shared.value, 3)
+                        found = first[:cold]
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["key"])
+
+        some = texts.filter(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(part)) == 0).select("text")
+        counts = some.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter(f"n >= {OFTEN}")
+        rows = counts.orderBy(F.desc("n"), "key").limit(most).toArrow()
+        return rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+
+    def ascending(found: np.ndarray, n: np.ndarray, floor: int) -> Often:
+        order = np.argsort(found)
+        return found[order], n[order], floor
 
     part = max(1, texts.count() // SAMPLE)
-    some = texts.filter(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(part)) == 0).select("text")
-    counts = some.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter(f"n >= {OFTEN}")
-    rows = counts.orderBy(F.desc("n"), "key").limit(LISTED).collect()
-    found = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(found)
-    return found[order], np.array([r["n"] for r in rows], np.int64)[order]
+    first = counted(part, LISTED, None)
+    if part <= PART:
+        return ascending(*first, 0)
+    more = counted(PART, KNOWN, ascending(*first, 0))
+    floor = int(more[1].max(initial=0))
+    return ascending(np.concatenate([first[0], more[0]]), np.concatenate([first[1] + floor, more[1]]), floor)
 
 
 def _prints(texts: DataFrame) -> DataFrame:
-    """doc_id, text_hash, sig (a hash of the set), n (its size), bits (its parities), brief (over ``BRIEF`` places at most), fp (its SimHash) and keys of every row, of
-    which the first ``cold`` aren't listed."""
+    """doc_id, text_hash, sig (a hash of the set), n (its size), bits (its parities), brief (over fewer places), fp (its SimHash) and keys of every row, of
+    which the first ``cold`` aren't among the ``LISTED``."""
     shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +157,7 @@ def _prints(texts: DataFrame) -> DataFrame:
             flat = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in each)]).view(np.int64)
             ends = pa.array(np.cumsum([0, *(len(k) for k, _ in each)]), pa.int32())
             bits = [parities(s) for s in sets]
-            columns = [b.column(0), b.column(1), pa.array(sig), pa.array([len(s) for s in sets], pa.int32()), pa.array(bits, pa.binary()), pa.array([folded(x, BRIEF).tobytes() for x in bits], pa.binary()), pa.array(list(map(fingerprint, sets)), pa.int64())]
+            columns = [b.column(0), b.column(1), pa.array(sig), pa.array([len(s) for s in sets], pa.int32()), pa.array(bits, pa.binary()), pa.array([brief(x, len(s)) for x, s in zip(bits, sets, strict=True)], pa.binary()), pa.array(list(map(fingerprint, sets)), pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in each], pa.int32()), pa.ListArray.from_arrays(ends, pa.array(flat))], names=[x.split()[0] for x in _PRINTS.split(", ")])
 
     return texts.mapInArrow(run, _PRINTS)
@@ -214,25 +241,65 @@ def _pairs(f: Column) -> Column:
     return F.flatten(F.transform(f, lambda x: F.transform(F.filter(f, lambda y: (x["sig"] < y["sig"]) & _may(x, y)), lambda y: end(x, y))))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of two blocks' sets that can be similar and are in different components."""
-
-    def block(c: pa.ListScalar) -> list[np.ndarray]:
-        v = c.values
-        return [*(v.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("sig", "n", "p", "c")), v.field("brief").to_pylist()]
-
+def _block(rows: pa.Array) -> tuple[dict[str, np.ndarray], list[bytes]]:
+    columns = {k: rows.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("sig", "n", "p", "c")}
+    return columns, [x.as_buffer() for x in rows.field("brief")]
+
+
+def _open(x: tuple, y: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in two blocks of the pairs of sets that can be similar and are in different components, with the share of their sets' radius that their parities differ by;
+    a pair of sets of one block (x is y) once, otherwise those of which the smaller is in x. Parities are compared over the places of the smaller set's."""
+    (one, w), (two, v) = x, y
+    lengths, others = np.array(list(map(len, w))), np.array(list(map(len, v)))
+    for size in np.unique(lengths):
+        i, j = np.nonzero(lengths == size)[0], np.nonzero((others >= size) & (others <= 4 * size))[0]
+        n, n2 = one["n"][i][:, None], two["n"][j]
+        may = (one["c"][i][:, None] != two["c"][j]) & (np.minimum(n - one["p"][i][:, None], n2 - two["p"][j]) * (NUM + DEN) >= (n + n2) * NUM)
+        may &= (n < n2) | ((n == n2) & (one["sig"][i][:, None] < two["sig"][j])) if x is y else one["sig"][i][:, None] != two["sig"][j]
+        p, q = np.nonzero(may)
+        if not len(p):
+            continue
+        wide, wide2 = (np.stack([folded(m, 8 * int(size)) for m in (k[at] for at in t)]) for k, t in ((w, i), (v, j)))
+        step = max(1, HELD // int(size))
+        for lo in range(0, len(p), step):
+            g, h = p[lo : lo + step], q[lo : lo + step]
+            share = np.bitwise_count(wide[g] ^ wide2[h]).sum(axis=1, dtype=np.int64) * (NUM + DEN) / ((n[g, 0] + n2[h]) * (DEN - NUM))
+            good = share <= 1
+            yield i[g[good]], j[h[good]], share[good]
+
+
+def _forest(a: np.ndarray, b: np.ndarray, share: np.ndarray) -> list[int]:
+    """Which of the pairs (a, b) of components join what no pair that is more alike has joined."""
+    top: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while (up := top.get(k, k)) != k:
+            top[k] = k = top.get(up, up)
+        return k
+
+    out = []
+    for k in np.argsort(share, kind="stable").tolist():
+        x, y = find(int(a[k])), find(int(b[k]))
+        if x != y:
+            top[x] = y
+            out.append(k)
+    return out
+
+
+def _across(batches: Iterator[pa.RecordBatch], spanning: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of two blocks' sets, or of one's, that can be similar and are in different components, with the blocks' key; if ``spanning``, only those that
+    join components which no pair that is more alike joins, so fewer than there are sets."""
     for b in batches:
-        for f, f2 in zip(b.column(0), b.column(1), strict=True):
-            (sig, n, p, c, w), (sig2, n2, p2, c2, w2) = block(f), block(f2)
-            size = 8 * min(map(len, w + w2))
-            w, w2 = (np.stack([folded(x, size) for x in y]) for y in (w, w2))
-            total = n[:, None] + n2
-            may = (sig[:, None] != sig2) & (c[:, None] != c2) & (np.minimum((n - p)[:, None], n2 - p2) * (NUM + DEN) >= total * NUM)
-            x, y = np.nonzero(may)
-            apart = np.bitwise_count(w[x] ^ w2[y]).sum(axis=1, dtype=np.int64)
-            good = apart * (NUM + DEN) <= total[x, y] * (DEN - NUM)
-            ends = np.sort(np.stack([sig[x[good]], sig2[y[good]]]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], names=["a", "b"])
+        for key, f, f2 in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            x = _block(f.values)
+            y = _block(f2.values) if f2.is_valid else x
+            found = list(_open(x, y))
+            i, j, share = (np.concatenate([np.zeros(0, t), *(p[k] for p in found)]) for k, t in enumerate((np.int64, np.int64, float)))
+            if spanning:
+                told = _forest(x[0]["c"][i], y[0]["c"][j], share)
+                i, j = i[told], j[told]
+            ends = np.sort(np.stack([x[0]["sig"][i], y[0]["sig"][j]]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1]), pa.array(np.full(len(i), key, np.int64))], names=["a", "b", "key"])
 
 
 def _met(prints: DataFrame) -> DataFrame:
@@ -258,17 +325,34 @@ def _bucket(n: Column) -> Column:
     return F.floor(F.log(n) * 20).cast("int")
 
 
-def _block_pairs(rows: DataFrame, classes: DataFrame, step: Scratch) -> DataFrame:
-    """f, f2: blocks of sets of which each pair that can be similar is in two, the smaller set in f.
-
-    Under a key, a set is entered as the smaller in the bucket of its size if its place allows it, and as the larger in the buckets of all sizes that its
-    size and place leave to a partner. So sets that meet at a late place, where no partner is small enough, meet no other. Blocks of the larger sets are dealt
-    to tasks by groups, each with all blocks of the smaller."""
+def _sides(rows: DataFrame) -> DataFrame:
+    """rows with early (a set can be the smaller of a pair that first meets here) and the least and most size of a smaller partner; those that can be neither left out."""
     n, p = F.col("n"), F.col("p")
     least = F.ceil(n * NUM / DEN)
     most = F.least(n, F.floor((n - p) * (NUM + DEN) / NUM) - n)  # (n - p) * (NUM + DEN) >= NUM * (n + partner)
-    early = F.when(p * (NUM + DEN) <= n * (DEN - NUM), F.array(F.struct(F.lit(0).alias("side"), _bucket(n).alias("bucket"))))
-    late = F.when(most >= least, F.transform(F.sequence(_bucket(least), _bucket(most)), lambda b: F.struct(F.lit(1).alias("side"), b.alias("bucket"))))
+    rows = rows.withColumns({"early": p * (NUM + DEN) <= n * (DEN - NUM), "least": least, "most": most})
+    return rows.filter("early or most >= least")
+
+
+def _block_pairs(rows: DataFrame, classes: DataFrame, step: Scratch) -> DataFrame:
+    """key, f, f2: blocks of sets of which each pair that can be similar is in one (f2 is null) or in two, the smaller set in f.
+
+    The sets under a key are one block if they are at most 4 * ``BLOCK``. Where more meet, a set is entered as the smaller in the bucket of its size if its place allows it, and as the
+    larger in the buckets of all sizes that its size and place leave to a partner. So sets that meet at a late place, where no partner is small enough, meet no other. Blocks of the
+    larger sets are dealt to tasks by groups, each with all blocks of the smaller."""
+    rows = _sides(rows)
+    open_ = rows.groupBy("key").agg(F.count("*").alias("held"), F.count("*").alias("rows"), F.max("early").alias("early"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    open_ = step.write(open_.filter("early and lo < hi").select("key", "held", "rows"), "open_keys")
+    rows = step.write(join_split(rows, open_, "key"), "rows")
+    brief = classes.select("sig", "brief")
+    item = F.struct("sig", "n", "p", "c", "brief")
+    alone = rows.filter(F.col("held") <= 4 * BLOCK).join(brief, "sig").groupBy("key").agg(F.collect_list(item).alias("f"))
+    alone = alone.select("key", "f", F.lit(None).cast(alone.schema["f"].dataType).alias("f2"))
+    rows = rows.filter(F.col("held") > 4 * BLOCK)
+    if rows.isEmpty():
+        return alone
+    early = F.when(F.col("early"), F.array(F.struct(F.lit(0).alias("side"), _bucket(F.col("n")).alias("bucket"))))
+    late = F.when(F.col("most") >= F.col("least"), F.transform(F.sequence(_bucket(F.col("least")), _bucket(F.col("most"))), lambda b: F.struct(F.lit(1).alias("side"), b.alias("bucket"))))
     none = F.array().cast("array<struct<side:int,bucket:int>>")
     entered = rows.select("key", "sig", "n", "p", "c", F.explode(F.concat(F.coalesce(early, none), F.coalesce(late, none))).alias("e")).select("key", "sig", "n", "p", "c", "e.*")
     entered = step.write(entered.withColumns({"at": F.xxhash64("key", "bucket"), "of": F.xxhash64("key", "bucket", "side")}), "entered")
@@ -277,13 +361,12 @@ def _block_pairs(rows: DataFrame, classes: DataFrame, step: Scratch) -> DataFram
     entered = step.write(join_split(entered, step.write(open_.select("at", "rows"), "open"), "at").drop("at"), "entered")
     counts = entered.groupBy("of").agg(F.count("*").alias("rows"), F.count("*").alias("m"))
     sized = join_split(entered, step.write(counts, "counts"), "of").withColumn("k", F.pmod(F.xxhash64("sig"), F.ceil(F.col("m") / BLOCK)))
-    sized = sized.join(classes.select("sig", "brief"), "sig")
-    blocks = sized.groupBy("key", "bucket", "side", "m", "k").agg(F.collect_list(F.struct("sig", "n", "p", "c", "brief")).alias("f"))
+    blocks = sized.join(brief, "sig").groupBy("key", "bucket", "side", "m", "k").agg(F.collect_list(item).alias("f"))
     blocks = step.write(blocks, "blocks")
     large = blocks.filter("side = 1").select("key", "bucket", F.floor(F.col("k") / SPREAD).cast("int").alias("g"), F.col("f").alias("f2"))
     groups = large.groupBy("key", "bucket").agg(F.max("g").alias("last"))
     small_ = blocks.filter("side = 0").join(groups, ["key", "bucket"]).select("key", "bucket", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("g"), "f")
-    return small_.join(large, ["key", "bucket", "g"]).select("f", "f2")
+    return alone.unionByName(small_.join(large, ["key", "bucket", "g"]).select("key", "f", "f2"))
 
 
 def links(classes: DataFrame, met: DataFrame, texts: DataFrame, into: Scratch, most: int = SMALL) -> DataFrame:
@@ -299,13 +382,14 @@ def links(classes: DataFrame, met: DataFrame, texts: DataFrame, into: Scratch, m
     many = met.filter(F.col("m") > most)
     star = many.filter((F.col("sig") != F.col("head.sig")) & _may(F.col("head"), item)).select(F.least("head.sig", "sig").alias("a"), F.greatest("head.sig", "sig").alias("b"))
     first = _verified(few.unionByName(star).unionByName(_by_fingerprint(classes, step)), classes, texts, into)
-    reach = components(first, step)
-    named = many.join(reach, F.col("sig") == F.col("node"), "left").select("key", "m", "sig", "n", "p", F.coalesce("component", "sig").alias("c"))
-    named = step.write(named, "named")
-    open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    both = _block_pairs(named.join(open_keys, "key"), classes, step)
-    rest = both.mapInArrow(_across, "a long, b long")
-    found = first.unionByName(_verified(rest, classes, texts, into))
+    found = first
+    for spanning in (True, False):
+        reach = components(found, step)
+        named = many.join(reach, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", "p", F.coalesce("component", "sig").alias("c"))
+        both = _block_pairs(step.write(named, "named"), classes, step)
+        rest = step.write(both.mapInArrow(functools.partial(_across, spanning=spanning), "a long, b long, key long"), "rest")
+        found = found.unionByName(_verified(rest.select("a", "b"), classes, texts, into))
+        many = many.join(small(step.write(rest.select("key").distinct(), "again")), "key", "left_semi")  # elsewhere no pair is left
     step.clear()
     return found
 
