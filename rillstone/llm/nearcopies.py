@@ -39,10 +39,10 @@ NUM, DEN = 4, 5
 SMALL = 8
 SAMPLE, OFTEN, LISTED = 10_000, 5, 100_000
 PART, KNOWN = 4, 1_000_000
-BLOCK, SPREAD = 64, 16
+BLOCK, SPREAD, ALONE = 64, 16, 2
 PAIRS = 1000
 BITS, BRIEF = 512, 1 << 15
-HELD = 1 << 23
+HELD = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles, ascending; places in the common order, after all shingles that aren't among them; above which place they are in so many sets that their rows are dealt out.
 Often = tuple[np.ndarray, np.ndarray, int]
@@ -337,7 +337,7 @@ def _sides(rows: DataFrame) -> DataFrame:
 def _block_pairs(rows: DataFrame, classes: DataFrame, step: Scratch) -> DataFrame:
     """key, f, f2: blocks of sets of which each pair that can be similar is in one (f2 is null) or in two, the smaller set in f.
 
-    The sets under a key are one block if they are at most 4 * ``BLOCK``. Where more meet, a set is entered as the smaller in the bucket of its size if its place allows it, and as the
+    The sets under a key are one block if they are at most ``ALONE`` * ``BLOCK``. Where more meet, a set is entered as the smaller in the bucket of its size if its place allows it, and as the
     larger in the buckets of all sizes that its size and place leave to a partner. So sets that meet at a late place, where no partner is small enough, meet no other. Blocks of the
     larger sets are dealt to tasks by groups, each with all blocks of the smaller."""
     rows = _sides(rows)
@@ -346,9 +346,9 @@ def _block_pairs(rows: DataFrame, classes: DataFrame, step: Scratch) -> DataFram
     rows = step.write(join_split(rows, open_, "key"), "rows")
     brief = classes.select("sig", "brief")
     item = F.struct("sig", "n", "p", "c", "brief")
-    alone = rows.filter(F.col("held") <= 4 * BLOCK).join(brief, "sig").groupBy("key").agg(F.collect_list(item).alias("f"))
+    alone = rows.filter(F.col("held") <= ALONE * BLOCK).join(brief, "sig").groupBy("key").agg(F.collect_list(item).alias("f"))
     alone = alone.select("key", "f", F.lit(None).cast(alone.schema["f"].dataType).alias("f2"))
-    rows = rows.filter(F.col("held") > 4 * BLOCK)
+    rows = rows.filter(F.col("held") > ALONE * BLOCK)
     if rows.isEmpty():
         return alone
     early = F.when(F.col("early"), F.array(F.struct(F.lit(0).alias("side"), _bucket(F.col("n")).alias("bucket"))))
